@@ -123,3 +123,71 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def revalidation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind(spark, render(REQUESTS, SPARK_TIME), events=events(spark, sf_dir))
+
+
+# Members for the object builders and conversions, also derived from events.
+ASSETS = """
+SELECT event_id AS raw_log_id,
+  concat('{"user_name":', CASE WHEN event_id % 4 = 0 THEN 'null' ELSE concat('"u', user_id, '"') END,
+    ',"user":"alias', user_id, '","user_sid":"S-', user_id, '","user_type_id":"', event_id % 3, '"',
+    CASE WHEN event_id % 5 = 0 THEN concat(',"groups":["g', event_id % 7, '",{"name":"admins","uid":"', event_id % 9, '"}]') ELSE '' END,
+    ',"ip":"10.7.0.', user_id, '","port":"', CASE WHEN event_id % 6 = 0 THEN 'none' ELSE concat('', event_id % 65000) END,
+    '","mac":"aa:', event_id % 99, '"',
+    CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(',"file_name":"f', event_id, '.exe","file_size":', event_id, ',"file_hashes":{"md5":"', event_id, '","sha1":null}') END,
+    ',"file_hash_sha256":"', CASE WHEN event_id % 2 = 0 THEN '' ELSE concat('h', event_id) END, '"',
+    ',"pid":', event_id % 32000, ',"process_name":"p', event_id % 11, '","process_user":"u', user_id, '"',
+    CASE WHEN event_id % 7 = 0 THEN '' ELSE concat(',"device_name":"d', user_id, '","device_os":{"name":"linux","version":"', event_id % 6, '"}') END,
+    CASE WHEN event_id % 8 = 0 THEN '' ELSE concat(',"actor_user":"a', user_id, '","session_uid":"s', event_id, '"') END,
+    ',"duration":"', event_id % 90, CASE event_id % 4 WHEN 0 THEN 'ms' WHEN 1 THEN 's' WHEN 2 THEN 'm' ELSE '' END,
+    '","size_bytes":"', event_id, '","enabled":"', CASE event_id % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'disabled' WHEN 2 THEN '1' ELSE 'maybe' END,
+    '","TargetUserName":"t', user_id, '","IpAddress":"10.7.1.', user_id, '","IpPort":"', event_id % 999, '","SubjectUserName":"s', user_id, '"}') AS raw_payload,
+  {ms} AS received_at_ms
+FROM events
+"""
+
+# Whole events as JSON, with every kind of fault the validator looks for.
+CANDIDATES = """
+SELECT event_id AS raw_log_id,
+  concat('{"category_uid":', CASE WHEN event_id % 13 = 0 THEN 'null' ELSE '3' END,
+    CASE event_id % 3 WHEN 0 THEN ',"class_uid":3002' WHEN 1 THEN ',"class_uid":4001' ELSE '' END,
+    ',"time":', CASE WHEN event_id % 11 = 0 THEN '"late"' WHEN event_id % 11 = 1 THEN 'true' ELSE concat('', {ms}) END,
+    CASE event_id % 5 WHEN 0 THEN ',"user":{"name":7}' WHEN 1 THEN ',"user":"root"' WHEN 2 THEN concat(',"actor":{"user":{"name":"u', user_id, '"}}') ELSE '' END,
+    CASE event_id % 4 WHEN 0 THEN ',"src_endpoint":{"ip":123,"port":"80"}' WHEN 1 THEN ',"src_endpoint":{"ip":"10.0.0.1","port":80}' WHEN 2 THEN ',"src_endpoint":null' ELSE '' END,
+    CASE event_id % 7 WHEN 0 THEN ',"dst_endpoint":[]' WHEN 1 THEN ',"file":{"size":"big"}' WHEN 2 THEN ',"process":{"pid":"x"}' WHEN 3 THEN ',"device":{"ip":true,"port":1.5}' ELSE '' END,
+    '}') AS event_json
+FROM events
+"""
+
+CLASS_REQUESTS = """
+SELECT o_orderkey AS seq, concat('id-', o_orderkey) AS id, concat('org-', o_custkey % 97) AS organization,
+  CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE concat('Class ', o_orderkey) END AS class_name,
+  CAST(9000 + o_orderkey % 50 AS INT) AS class_uid, 9 AS category_uid, '1.0' AS version,
+  CASE WHEN o_orderkey % 37 = 0 THEN '[1]' WHEN o_orderkey % 41 = 0 THEN '{oops' ELSE '{"type":"object"}' END AS schema
+FROM orders
+"""
+CLASSES_BEFORE = """
+SELECT DISTINCT concat('org-', c_custkey % 97) AS organization, CAST(9000 + c_custkey % 50 AS INT) AS class_uid
+FROM customer WHERE c_nationkey < 3
+"""
+CONNECTOR_REQUESTS = """
+SELECT o_orderkey AS seq, concat('conn-', o_custkey % 700) AS id, concat('Connector ', o_custkey) AS name,
+  concat('secret-', o_orderkey) AS secret, o_orderkey % 2 = 0 AS hmac_enabled, true AS is_active
+FROM orders
+"""
+CONNECTORS_BEFORE = """
+SELECT concat('conn-', c_custkey) AS id, c_name AS name, concat('secret-', c_custkey) AS secret, false AS hmac_enabled,
+  c_acctbal > 0 AS is_active
+FROM customer WHERE c_nationkey < 8
+"""
+
+
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind(spark, render(ASSETS, SPARK_TIME), events=events(spark, sf_dir))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind(spark, render(CANDIDATES, SPARK_TIME), events=events(spark, sf_dir))
+
+
+def from_table(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
+    return bind(spark, sql, **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
