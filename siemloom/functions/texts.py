@@ -33,8 +33,8 @@ def read_texts(df: DataFrame, payload: str = "raw_payload") -> DataFrame:
     wrapped = F.from_json(
         F.concat(F.lit("["), F.col(payload), F.lit("]")), "array<map<string,string>>", V.JSON_OPTIONS)
     df = df.withColumn("m", wrapped)
-    df = df.withColumn("m", F.when(F.size("m") == 1, F.get("m", F.lit(0))))
-    return df.withColumn("m", V.last_key_wins(F.col("m")))
+    df = df.withColumn("m", F.when((F.size("m") == 1) & V.fence(), F.get("m", F.lit(0))))
+    return df.withColumn("m", F.when(V.fence(), V.last_key_wins(F.col("m"))))
 
 
 def with_document(df: DataFrame, payload: str = "raw_payload") -> DataFrame:

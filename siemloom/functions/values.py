@@ -39,7 +39,7 @@ def parse_event(df: DataFrame, payload: str, keys: Sequence[str] | None = None)
     """
     wrapped = F.from_json(
         F.concat(F.lit("["), F.col(payload), F.lit("]")), f"array<{event_type(keys)}>", JSON_OPTIONS)
-    return df.withColumn("m", wrapped).withColumn("m", F.when(F.size("m") == 1, F.get("m", F.lit(0))))
+    return df.withColumn("m", wrapped).withColumn("m", F.when((F.size("m") == 1) & fence(), F.get("m", F.lit(0))))
 
 
 def last_key_wins(m: Column) -> Column:
@@ -251,6 +251,16 @@ def literal_map(words: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
 
 
+def fence() -> Column:
+    """Always true, but not to the optimizer's knowledge.
+
+    A projection containing it keeps filters above itself.  Without it a filter
+    on a derived column is rewritten in terms of the raw text, which repeats
+    the parsing once per reference.
+    """
+    return F.monotonically_increasing_id() >= 0
+
+
 JSON_NULL = "null"
 
 

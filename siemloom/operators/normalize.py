@@ -142,7 +142,7 @@ def _project(df: DataFrame, vendors: Sequence[Vendor], received_ms: Column, payl
         "_severity_id": _by_vendor(vendors, _severity).cast("int"),
         "_status_id": _by_vendor(vendors, _status).cast("int"),
     })
-    known = F.col("m").isNotNull()
+    known = F.col("m").isNotNull() & V.fence()
     if len(vendors) > 1:
         known = known & (F.col("_vendor") >= 0)
     df = df.withColumns({
@@ -179,7 +179,7 @@ def normalize(df: DataFrame, payload: str = "raw_payload", received: str | None
     if "m" not in df.columns:
         df = read_texts(df, payload)
     numbers = {v.name: i for i, v in enumerate(vendors)}
-    df = df.withColumn("_vendor", detect.vendor_number(Texts(), rules, numbers))
+    df = df.withColumn("_vendor", F.when(V.fence(), detect.vendor_number(Texts(), rules, numbers)))
     names = F.when(F.col("_vendor") == -1, F.lit(detect.UNKNOWN))
     for name, i in numbers.items():
         names = names.when(F.col("_vendor") == i, F.lit(name))

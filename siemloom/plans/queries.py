@@ -262,7 +262,7 @@ O6 = _object(_DEVICE_KEYS, objects.device, {"name": "name", "os": "os.name", "os
 O7 = _object(["actor_user", "session_uid", "actor_type_id", "pid", *_PROCESS_KEYS[1:]],
              lambda m: objects.actor(m, {"process": {"name": "process_name"}}),
              {"user_name": "user.name", "session_uid": "session_uid", "process": "process.name"})
-U1 = _object(["ip", "mac", "port", "hostname", "name"],
+U1 = _object(list(X.ENDPOINT_FIELDS),
              lambda m: objects.endpoint(m, {"hostname": lambda e: V.as_variant(F.concat(F.lit("host-"), V.text(e["ip"])))}),
              {"ip": "ip", "hostname": "hostname"})
 
