@@ -235,7 +235,7 @@ class Value:
             .when(self.kind == "VOID", F.lit("NoneType"))
             # A 64-bit integer never becomes a decimal, so wide decimals without fraction are integers.
             .when(self.kind.rlike(r"^DECIMAL\((19|2\d|3\d),0\)$"), F.lit("int"))
-            .otherwise(F.lit("float"))
+            .when(self.kind.isNotNull(), F.lit("float"))
         )
 
 

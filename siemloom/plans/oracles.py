@@ -71,6 +71,12 @@ def iso(x: str) -> str:
     return f"(epoch_us(try_cast(replace({x}, 'Z', '') AS TIMESTAMP)) // 1000)"
 
 
+def iso_basic(x: str) -> str:
+    """Like iso, but 13 digits also read as yyyymmdd, any separator, hhmm."""
+    spelled = f"concat(substr({x}, 1, 4), '-', substr({x}, 5, 2), '-', substr({x}, 7, 2), ' ', substr({x}, 10, 2), ':', substr({x}, 12, 2), ':00')"
+    return f"CASE WHEN regexp_full_match({x}, '[0-9]{{13}}') THEN epoch_us(try_cast({spelled} AS TIMESTAMP)) // 1000 ELSE {iso(x)} END"
+
+
 def epoch(x: str, kind: str, digits: bool = True, now: str = "received_at_ms") -> str:
     whole = f"CASE WHEN CAST({x} AS BIGINT) > 1000000000000 THEN CAST({x} AS BIGINT) ELSE CAST({x} AS BIGINT) * 1000 END"
     numeric = f"regexp_full_match({x}, '-?[0-9]+')" + ("" if digits else f" AND {kind} <> 'VARCHAR'")
@@ -278,7 +284,7 @@ def _legacy_cols() -> dict[str, dict[str, str]]:
         "sentinel": base(status_id=exact(t("EventResult"), "Success", "Failure"),
                          time=f"coalesce({iso(coalesce(['EventStartTime', 'TimeGenerated']))}, {now})",
                          user_name=or_else(t("TargetUsername"), "Unknown"), src_ip=t("SrcIpAddr")),
-        "ecs": base(status_id=exact(inner("event", "outcome"), "success", "failure"), time=f"coalesce({iso(t('@timestamp'))}, {now})",
+        "ecs": base(status_id=exact(inner("event", "outcome"), "success", "failure"), time=f"coalesce({iso_basic(t('@timestamp'))}, {now})",
                     user_name=or_else(inner("user", "name"), "Unknown"), src_ip=inner("source", "ip")),
         "qradar": q, "logscale": log,
     }
@@ -411,7 +417,7 @@ def all_oracles() -> dict[str, str]:
     seed = ", ".join(f"('{a}', '{b}')" for a, b in X.VENDOR_CONFIG_SEED)
     class_ctes = _with(("req", D.CLASS_REQUESTS), ("old", D.CLASSES_BEFORE))
     conn_ctes = _with(("req", D.CONNECTOR_REQUESTS), ("old", D.CONNECTORS_BEFORE))
-    valid_class = "(organization <> '' AND class_name <> '' AND version <> '' AND coalesce(json_valid(schema) AND json_type(schema) = 'OBJECT', false))"
+    valid_class = "(organization <> '' AND class_name <> '' AND version <> '' AND CASE WHEN json_valid(schema) THEN json_type(schema) = 'OBJECT' ELSE false END)"
     typed = [f"CASE WHEN {whole(t(k))} IS NULL THEN '{k}' END" for k in ("activity_id", "category_uid", "class_uid", "severity_id", "status_id")]
     typed += [f"CASE WHEN coalesce({ty(*k)}, '') <> 'VARCHAR' THEN '{'.'.join(k)}' END" for k in (("user", "name"), ("device", "ip"), ("actor", "user", "name"))]
     return {
@@ -474,7 +480,7 @@ def all_oracles() -> dict[str, str]:
         "t3_not_dict": on_all(error=f"CASE WHEN j IS NULL THEN '{X.MSG_NOT_DICT}' END"),
         "t4_spec_splunk": on_all(**{k: f"CASE WHEN j IS NOT NULL THEN {e} END" for k, e in {"class_uid": "3002", "time": f"CAST({t('_time')} AS BIGINT) * 1000", "user_name": t("user"), "status_id": f"CASE {t('action')} WHEN 'success' THEN 1 WHEN 'failure' THEN 2 ELSE 99 END"}.items()}),
         "t4_spec_asim_network": on_all(**{k: f"CASE WHEN j IS NOT NULL THEN {e} END" for k, e in {"class_uid": "4001", "time": iso(t("TimeGenerated")), "src_ip": t("SrcIpAddr"), "src_port": f"CAST({whole(t('SrcPortNumber'))} AS INT)", "dst_ip": t("DstIpAddr"), "status": t("EventResult"), "status_id": f"CASE {t('EventResult')} WHEN 'Success' THEN 1 WHEN 'Failure' THEN 2 ELSE 99 END"}.items()}),
-        "t4_spec_ecs": on_all(**{k: f"CASE WHEN j IS NOT NULL THEN {e} END" for k, e in {"class_uid": "3002", "time": f"CASE WHEN {ty('@timestamp')} = 'VARCHAR' THEN {iso(t('@timestamp'))} END", "user_name": f"coalesce({t('user.name')}, {t('user', 'name')})", "src_ip": f"coalesce({t('source.ip')}, {t('source', 'ip')})", "status_id": f"CASE coalesce({t('event.outcome')}, {t('event', 'outcome')}) WHEN 'success' THEN 1 WHEN 'failure' THEN 2 ELSE 99 END"}.items()}),
+        "t4_spec_ecs": on_all(**{k: f"CASE WHEN j IS NOT NULL THEN {e} END" for k, e in {"class_uid": "3002", "time": iso_basic(t("@timestamp")), "user_name": f"coalesce({t('user.name')}, {t('user', 'name')})", "src_ip": f"coalesce({t('source.ip')}, {t('source', 'ip')})", "status_id": f"CASE coalesce({t('event.outcome')}, {t('event', 'outcome')}) WHEN 'success' THEN 1 WHEN 'failure' THEN 2 ELSE 99 END"}.items()}),
         "t5_template": on_all(ASSETS, class_uid="1001", user_name=t("TargetUserName"), ip=t("IpAddress"), port=t("IpPort"), actor=t("SubjectUserName")),
         "t6_typed_model": on_all(CANDIDATES, errors=f"concat_ws(';', {', '.join(typed)})"),
         "t7_typed_event": on_all(CANDIDATES, class_uid=f"coalesce({whole(t('class_uid'))}, 3001)", category_uid=f"coalesce({whole(t('category_uid'))}, 3)", activity_id="1", severity_id="1", status_id="99", time=f"CASE WHEN {t('time')} = 'true' THEN 1 ELSE {whole(t('time'))} END"),
@@ -489,7 +495,7 @@ def all_oracles() -> dict[str, str]:
         "w5_authenticate": INGEST + "SELECT delivery_id, auth FROM i", "w6_json": INGEST + "SELECT delivery_id, ok AS is_json FROM i",
         "w7_ingest": INGEST + f"SELECT delivery_id, outcome, CASE outcome WHEN 'INVALID_JSON' THEN 'invalid JSON' WHEN 'SCHEMA_VALIDATION_FAILED' THEN perr WHEN 'NORMALIZATION_FAILED' THEN concat('{X.MSG_UNKNOWN_VENDOR}', raw_body) WHEN 'OCSF_VALIDATION_FAILED' THEN 'Class 3002 (Authentication) missing ''user'' or ''actor'' context' END AS errors, CASE WHEN outcome = 'VALID' THEN {dispatched('time')} END AS time, CASE WHEN outcome = 'VALID' THEN {dispatched('status_id')} END AS status_id FROM i",
         "w8_health": INGEST + f"SELECT connector_id, {HEALTH}, {LATENCY} AS total_latency_ms FROM i WHERE outcome <> 'CONNECTOR_NOT_FOUND' GROUP BY 1",
-        "w9_health_report": INGEST + f"SELECT connector_id, {HEALTH}, {LATENCY} // count(*) AS avg_latency_ms, max(arrived_at_ms) AS last_seen_ms, arg_max(CASE outcome WHEN 'VALID' THEN 'valid' WHEN 'UNAUTHORIZED' THEN 'auth_failed' ELSE 'invalid' END, arrived_at_ms * 100000000 + delivery_id) AS last_status, arg_max({REASON}, arrived_at_ms * 100000000 + delivery_id) AS last_error FROM i WHERE outcome <> 'CONNECTOR_NOT_FOUND' GROUP BY 1".replace(f"arg_max({REASON}", f"nullif(arg_max(coalesce({REASON}, '')").replace("+ delivery_id) AS last_error", "+ delivery_id), '') AS last_error"),
+        "w9_health_report": INGEST + f"SELECT connector_id, {HEALTH}, {LATENCY} // count(*) AS avg_latency_ms, max(arrived_at_ms) AS last_seen_ms, arg_max(CASE outcome WHEN 'VALID' THEN 'valid' WHEN 'UNAUTHORIZED' THEN 'auth_failed' ELSE 'invalid' END, (arrived_at_ms - 1704000000000) * 1000000 + delivery_id) AS last_status, arg_max({REASON}, (arrived_at_ms - 1704000000000) * 1000000 + delivery_id) AS last_error FROM i WHERE outcome <> 'CONNECTOR_NOT_FOUND' GROUP BY 1".replace(f"arg_max({REASON}", f"nullif(arg_max(coalesce({REASON}, '')").replace("+ delivery_id) AS last_error", "+ delivery_id), '') AS last_error"),
         "r1_register_class": class_ctes + f"SELECT seq, CASE WHEN NOT {valid_class} THEN 'INVALID_REGISTRATION' WHEN (organization, class_uid) NOT IN (SELECT (organization, class_uid) FROM old) AND seq = min(seq) FILTER ({valid_class}) OVER (PARTITION BY organization, class_uid) THEN 'registered' ELSE 'CUSTOM_CLASS_EXISTS' END AS outcome FROM req",
         "r2_list_classes": class_ctes + "SELECT id, organization, class_uid FROM req WHERE organization = 'org-7' ORDER BY seq DESC",
         "r3_find_class": class_ctes + "SELECT CASE WHEN req.id IS NULL THEN 'CUSTOM_CLASS_NOT_FOUND' ELSE 'found' END AS outcome, count(*) AS n FROM lineitem l LEFT JOIN req ON req.id = concat('id-', l.l_orderkey + l.l_linenumber) GROUP BY 1",

@@ -25,19 +25,29 @@ def _path(name: str) -> Column:
     return F.col(f"event.{name}")
 
 
-FLAT = {
-    "time": _path("time"), "severity_id": _path("severity_id"), "status_id": _path("status_id"),
-    "src_ip": V.text(_path("src_endpoint.ip")), "dst_ip": V.text(_path("dst_endpoint.ip")),
-    "user_name": V.text(_path("actor.user.name")), "message": V.text(_path("message")),
-    "has_src": _path("src_endpoint").isNotNull(), "has_dst": _path("dst_endpoint").isNotNull(),
-    "has_actor": _path("actor").isNotNull(), "product": _path("metadata.product.name"),
-    "provenance": F.array_join(
-        F.transform(_path("metadata.provenance"), lambda p: F.concat(p["ocsf_field"], F.lit("<"), p["raw_field"])), ";"),
-}
+def _flat_columns() -> dict[str, Column]:
+    provenance = F.transform(
+        _path("metadata.provenance"), lambda p: F.concat(p["ocsf_field"], F.lit("<"), p["raw_field"]))
+    return {
+        "time": _path("time"), "severity_id": _path("severity_id"), "status_id": _path("status_id"),
+        "src_ip": V.text(_path("src_endpoint.ip")), "dst_ip": V.text(_path("dst_endpoint.ip")),
+        "user_name": V.text(_path("actor.user.name")), "message": V.text(_path("message")),
+        "has_src": _path("src_endpoint").isNotNull(), "has_dst": _path("dst_endpoint").isNotNull(),
+        "has_actor": _path("actor").isNotNull(), "product": _path("metadata.product.name"),
+        "provenance": F.array_join(provenance, ";"),
+    }
+
+
+FLAT = ["time", "severity_id", "status_id", "src_ip", "dst_ip", "user_name", "message",
+        "has_src", "has_dst", "has_actor", "product", "provenance"]
+
+
+def _field(name: str) -> Column:
+    return _flat_columns()[name].alias(name)
 
 
 def _flat(df: DataFrame, names: list[str], *more: str) -> DataFrame:
-    return df.select("raw_log_id", *more, *[FLAT[n].alias(n) for n in names])
+    return df.select("raw_log_id", *more, *[_field(n) for n in names])
 
 
 def _vendor(vendor: str, *names: str) -> Query:
@@ -204,7 +214,7 @@ def f34_sign(s, d):
 # ---------------------------------------------------------------------- N rows
 def n7_splunk_compat(s, d):
     df = normalize.splunk_compat(D.raw_logs(s, d))
-    return df.select("raw_log_id", FLAT["time"].alias("time"), V.text(F.col("user.name")).alias("user_name"),
+    return df.select("raw_log_id", _field("time"), V.text(F.col("user.name")).alias("user_name"),
                      V.text(F.col("device.ip")).alias("device_ip"))
 
 
@@ -224,7 +234,7 @@ def n13_dispatch(s, d):
 
 
 def n14_batch(s, d):
-    return _normalized(s, d).select("raw_log_id", "success", "error", FLAT["time"].alias("time"))
+    return _normalized(s, d).select("raw_log_id", "success", "error", _field("time"))
 
 
 def n15_summary(s, d):
@@ -388,7 +398,7 @@ def w6_json(s, d):
 
 def w7_ingest(s, d):
     return _ingested(s, d).select("delivery_id", "outcome", F.array_join("errors", ";").alias("errors"),
-                                  FLAT["time"].alias("time"), FLAT["status_id"].alias("status_id"))
+                                  _field("time"), _field("status_id"))
 
 
 def w8_health(s, d):
