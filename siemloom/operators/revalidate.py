@@ -83,11 +83,9 @@ def find_runs(wanted: DataFrame, runs: DataFrame, key: str = "re_run_id") -> Dat
         "outcome", F.when(F.col("request_hash").isNull(), F.lit(X.CODE_RUN_NOT_FOUND)).otherwise(F.lit("found")))
 
 
-def _comparable(v: Column) -> Column:
-    """Text under which equal values are equal: 1, 1.0 and true are one, key order does not count."""
-    r = V.Value.of(v)
-    return F.when(r.is_number, F.concat(F.lit("n"), r.number.cast("string"))).when(
-        r.is_set, F.concat(F.lit("j"), F.to_json(v)))
+def _as_number(text: Column) -> Column:
+    """Number of a JSON text, booleans as 1 and 0; NULL for strings and collections."""
+    return F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0)).otherwise(text.try_cast("double"))
 
 
 def changes(df: DataFrame, before: str = "original_event", after: str = "updated_event") -> DataFrame:
@@ -99,12 +97,16 @@ def changes(df: DataFrame, before: str = "original_event", after: str = "updated
     df = V.parse_event(df.drop("m"), after).withColumn("_after", V.last_key_wins(F.col("m"))).drop("m")
     fields = F.array_sort(F.array_union(F.map_keys("_before"), F.map_keys("_after")))
 
-    def change(k: Column) -> Column:
-        b, a = F.col("_before")[k], F.col("_after")[k]
-        return F.when(
-            ~_comparable(b).eqNullSafe(_comparable(a)),
-            F.struct(k.alias("field"), F.to_json(V.set_or_null(b)).alias("before"),
-                     F.to_json(V.set_or_null(a)).alias("after")))
+    def pair(k: Column) -> Column:
+        return F.struct(
+            k.alias("field"), F.to_json(V.set_or_null(F.col("_before")[k])).alias("before"),
+            F.to_json(V.set_or_null(F.col("_after")[k])).alias("after"))
 
-    return df.withColumn("changes", F.filter(F.transform(fields, change), lambda c: c.isNotNull())).drop(
-        "_before", "_after")
+    def differs(c: Column) -> Column:
+        # Key order is already equal in the texts; 1, 1.0 and true count as one.
+        same_number = F.coalesce(_as_number(c["before"]) == _as_number(c["after"]), F.lit(False))
+        return ~(c["before"].eqNullSafe(c["after"]) | same_number)
+
+    found = F.filter(F.transform(fields, pair), differs)
+    # The fence keeps a later explode from computing the array once more for its own filter.
+    return df.withColumn("changes", F.when(V.fence(), found)).drop("_before", "_after")
