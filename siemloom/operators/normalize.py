@@ -149,6 +149,8 @@ def _project(df: DataFrame, vendors: Sequence[Vendor], received_ms: Column, payl
         "event": F.when(known & F.col("_time_bad").isNull(), _event(vendors)),
         "error": F.when(
             F.col("_time_bad").isNotNull(), F.format_string(X.MSG_BAD_INTEGER, F.col("_time_bad"))),
+        # On its own, so that counting outcomes does not build the events.
+        "success": known & F.col("_time_bad").isNull(),
     })
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
@@ -188,8 +190,7 @@ def normalize(df: DataFrame, payload: str = "raw_payload", received: str | None
     unknown = F.when(
         F.col("vendor") == detect.UNKNOWN, F.concat(F.lit(X.MSG_UNKNOWN_VENDOR), F.col(payload)))
     not_object = F.when(F.col("m").isNull(), F.lit(X.MSG_NOT_DICT))
-    return df.withColumn("error", F.coalesce(not_object, unknown, F.col("error"))).withColumn(
-        "success", F.col("event").isNotNull())
+    return df.withColumn("error", F.coalesce(not_object, unknown, F.col("error")))
 
 
 def register_vendor(vendor: Vendor, vendors: Sequence[Vendor] = VENDORS) -> list[Vendor]:
