@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siemloom.llm import block_topk, byte_bpe, licences, preferences
+from siemloom.llm import block_topk, byte_bpe, decontaminate, licences, line_crf, preferences, repeats, toxicity
+from siemloom.llm.training import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.suffix_trees(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,10 +34,29 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.suffix_arrays(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(licences.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(5) == 0
+    network = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out)
+    out = toxicity.with_score(docs, network)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(4) == 2
+    model = line_crf.train(docs, table(spark, sf_dir, "labels"), held_out)
+    out = line_crf.with_score(docs.select("doc_id", "text"), model, "score")
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = preferences.pairs_of_conversations(table(spark, sf_dir, "conversations"))
     out = preferences.format_pairs(pairs, "conv_id")
@@ -42,7 +71,9 @@ def op10_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_byte_bpe, op6_licence_scan, op9_preference_format, op10_block_topk)}
+    return {f.__name__: f for f in (
+        op1_substring_dedup, op2_decontaminate, op3_byte_bpe, op4_suffix_array_dedup, op6_licence_scan, op7_toxicity, op8_quality,
+        op9_preference_format, op10_block_topk)}
 
 
 def all_oracles() -> dict[str, str]:
