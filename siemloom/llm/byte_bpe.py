@@ -179,9 +179,9 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, id_column: str =
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the decimal ids joined by a space and of the decoded bytes."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, further columns, and SHA-256 of the decimal ids joined by a space and of the decoded bytes."""
     return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), *more,
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siemloom.llm import block_topk, byte_bpe, decontaminate, licences, line_crf, preferences, repeats, toxicity
+from siemloom.llm import block_topk, byte_bpe, decontaminate, jaccard_join, licences, line_crf, preferences, repeats, toxicity
 from siemloom.llm.training import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(licences.scan(table(spark, sf_dir, "documents")))
 
@@ -72,7 +76,7 @@ def op10_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_substring_dedup, op2_decontaminate, op3_byte_bpe, op4_suffix_array_dedup, op6_licence_scan, op7_toxicity, op8_quality,
+        op1_substring_dedup, op2_decontaminate, op3_byte_bpe, op4_suffix_array_dedup, op5_jaccard_join, op6_licence_scan, op7_toxicity, op8_quality,
         op9_preference_format, op10_block_topk)}
 
 

@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siemloom.llm.words import U, Words, by_bucket, minimisers, mix, pieces, signed, small_batches, window_minima
 
@@ -170,9 +171,9 @@ def _compare(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.nd
 
 
 def repeated_windows(docs: DataFrame, window: int, gram: int, trees: bool) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, text), dealt by id, and doc_id and start of every repeated window; start -1: the whole document."""
+    """The documents (all columns), dealt by id, and doc_id and start of every repeated window; start -1: the whole document."""
     small_batches(docs.sparkSession, 1500)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    docs = docs.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
     groups = _groups(docs)
     heavy = None
     if trees:
@@ -182,7 +183,7 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, trees: bool) -> tu
     sums = docs.where("text IS NOT NULL").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("sum"))
     firsts = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sum", "first")
     copies = sums.join(firsts, "sum").where("doc_id > first").select("doc_id").distinct()
-    alone = texts.join(copies.hint("shuffle_hash"), "doc_id", "left_anti")
+    alone = texts.select("doc_id", "text").join(copies.hint("shuffle_hash"), "doc_id", "left_anti")
     hashes = _repeated_hashes(alone, window, gram, groups).groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     candidates = alone.join(hashes.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "hashes")
     route, width = Route(window, gram, groups, heavy), LETTERS + 1 if trees else 5
@@ -218,11 +219,17 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, trees: bool) -> tu
     return texts, found.unionByName(copies.withColumn("start", F.lit(-1)))
 
 
-def remove_repeats(docs: DataFrame, window: int, gram: int, trees: bool) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (first word and word after the last of each removed run), kept (the words left, joined by a space)."""
-    texts, found = repeated_windows(docs, window, gram, trees)
+def remove_repeats(docs: DataFrame, window: int, gram: int, trees: bool, keep: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, spans (first word and word after the last of each removed run), kept (the words left, joined by a space).
+
+    keep: rest has the other columns of the documents, as a struct, and the kept text of a document that loses nothing is its own.
+    """
+    other = [c for c in docs.columns if c not in ("doc_id", "text")] if keep else []
+    docs = docs.select("doc_id", "text", (F.struct(*other) if other else F.struct(F.lit(0).alias("none"))).alias("rest"))
+    rest = docs.schema["rest"]
+    texts, found = repeated_windows(docs if keep else docs.select("doc_id", "text"), window, gram, trees)
     starts = found.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    rows = texts.join(starts.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts")
+    rows = texts.join(starts.hint("shuffle_hash"), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,17 +252,18 @@ def remove_repeats(docs: DataFrame, window: int, gram: int, trees: bool) -> Data
                 else:
                     spans.append([])
                 n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words).decode())
+                kept.append(text[i].as_py() if keep and not n_removed[-1] else b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                *([batch.column("rest")] if keep else []), batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.string())],
-                ["doc_id", "n_words", "n_removed", "spans", "kept"])
+                [*(["rest"] if keep else []), "doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,stop:long>>, kept string")
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, spans array<struct<start:long,stop:long>>, kept string")
+    return rows.mapInArrow(run, StructType([*([rest] if keep else []), *schema.fields]))
 
 
-def suffix_trees(docs: DataFrame, window: int = 20) -> DataFrame:
-    return remove_repeats(docs, window, max(1, window * 3 // 5), trees=True)
+def suffix_trees(docs: DataFrame, window: int = 20, keep: bool = False) -> DataFrame:
+    return remove_repeats(docs, window, max(1, window * 3 // 5), trees=True, keep=keep)
 
 
 def suffix_arrays(docs: DataFrame, window: int = 50) -> DataFrame:
