@@ -1,8 +1,85 @@
-"""Stages of the corpus pipeline."""
+"""Training corpus: from documents to token ids, in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of `documents`. Rows whose id is
+null go at the second stage. A text that loses a passage is its words left, joined by a space, with n_chars counted anew; no document goes for that.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siemloom.llm import byte_bpe, decontaminate, jaccard_join, line_crf, repeats
+from siemloom.llm.training import remainder
+
+#: A document goes if it is likelier bad than good.
+LEAST_QUALITY = 0.5
+#: Near duplicates: words of a shingle, and per cent of similarity.
+SHINGLE, SIMILAR = 5, 80
+#: Words of a passage that may stand once.
+WINDOW = 20
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Trained on the labels that op8 may learn from."""
+    model = line_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(4) == 2)
+    return line_crf.with_score(docs, model, least=LEAST_QUALITY)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the least id stays."""
+    groups = jaccard_join.similar(docs, SHINGLE, SIMILAR)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
+    kept = docs.join(stay.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("stays"), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand earlier are cut out."""
+    out = repeats.suffix_trees(docs, WINDOW, keep=True)
+    column = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept")}
+    for c in docs.columns:
+        column.setdefault(c, F.col(f"rest.`{c}`"))
+    if "n_chars" in docs.columns:
+        column["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(column["n_chars"])
+    return out.select(*[column[c].alias(c) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a passage with the benchmark go."""
+    return decontaminate.without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, digests of ids and decoded bytes."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    encoded = byte_bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(encoded, "ids")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substrings),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", tokens),
+]
+
+#: The classifier is trained; SQL can't express it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    folder = f"{shared}/pipeline-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
