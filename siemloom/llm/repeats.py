@@ -182,7 +182,7 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, trees: bool) -> tu
     texts = docs.repartition("doc_id")
     sums = docs.where("text IS NOT NULL").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("sum"))
     firsts = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sum", "first")
-    copies = sums.join(firsts, "sum").where("doc_id > first").select("doc_id").distinct()
+    copies = sums.join(firsts, "sum").where("doc_id > first").select("doc_id")
     alone = texts.select("doc_id", "text").join(copies.hint("shuffle_hash"), "doc_id", "left_anti")
     hashes = _repeated_hashes(alone, window, gram, groups).groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
     candidates = alone.join(hashes.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "hashes")
