@@ -33,7 +33,7 @@ from siemloom.llm.words import U, Words, by_bucket, mix, pieces, signed, small_b
 
 CELLS_BITS, SEGMENTS = 20, 32
 MOST, VERIFY = 4, 20
-BLOCK, VISITORS = 128, 512
+BLOCK, VISITORS = 96, 192
 GROUP_BYTES = 4 << 20
 
 
@@ -255,37 +255,47 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("l").alias("l"), F.min("other_l").alias("other_l")).where("n >= least(l, other_l)").select("rep", F.col("other").alias("block"))
     visits = cut(visits)
     parts = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / VISITORS).alias("parts"))
-    payload = cut(_payload(docs, placed, n))
-    members = payload.join(parts, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    came = visits.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).drop("parts").join(payload.drop("block"), "rep")
-    # new attributes for the visitors: both sides of the cogroup come from one table
-    came = came.select(*[F.col(c).alias(c) for c in came.columns])
-    members = members.select(*[F.col(c).alias(c) for c in members.columns])
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = links(left, right, percent, bool(len(right)) and int(right.part.iloc[0]) == 0) if len(right) else []
+    alone = placed.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
+    own = placed.select("rep", "block").join(alone, "block").join(parts, "block", "left").where("members > 1 OR parts IS NOT NULL")
+    own = own.select("rep", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(False).alias("guest"))
+    guests = visits.join(parts, "block").select("rep", "block", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(True).alias("guest"))
+    ways = own.unionByName(guests).groupBy("rep").agg(F.collect_list(F.struct("block", "part", "guest")).alias("ways"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["rep", "guest"])
+        members, visitors = rows[~rows.guest], rows[rows.guest]
+        found = links(visitors, members, percent, int(rows.part.iloc[0]) == 0) if len(members) else []
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    edges = cut(came.groupBy("block", "part").cogroup(members.groupBy("block", "part")).applyInPandas(meet, "a long, b long"))
+    sent = _sets_on_their_ways(docs, placed.drop("block").join(ways, "rep"), n)
+    edges = cut(sent.groupBy("block", "part").applyInPandas(meet, "a long, b long"))
     roots = components(edges).withColumnRenamed("node", "rep")
     classes = reps.join(roots, "rep", "left").select("class", F.coalesce("root", "rep").alias("component_id"))
     full = surveyed.where("n > 0").join(classes, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(surveyed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _payload(docs: DataFrame, placed: DataFrame, n: int) -> DataFrame:
-    """rep, block, size, l, prefix values and levels, and the whole set of every class that met another."""
-    levels = placed.select(F.col("rep").alias("doc_id"), "block", "size", "l", F.col("shared.value").alias("values"), F.col("shared.level").alias("levels"))
-    rows = docs.join(levels.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "block", "size", "l", "values", "levels")
+_SENT = {"block": pa.int64(), "part": pa.int64(), "guest": pa.bool_(), "rep": pa.int64(), "size": pa.int64(), "l": pa.int64(), "set": pa.binary(), "values": pa.binary(), "levels": pa.binary()}
+
+
+def _sets_on_their_ways(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """A row for each block and part that a class lives in or visits, with its prefix and its whole set."""
+    info = chosen.select(F.col("rep").alias("doc_id"), "size", "l", F.col("shared.value").alias("values"), F.col("shared.level").alias("levels"), "ways")
+    rows = docs.join(info.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "size", "l", "values", "levels", "ways")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, values, marks = [], batch.column("values"), batch.column("levels")
+            rep, size, l = (batch.column(c).to_pylist() for c in ("doc_id", "size", "l"))
+            values, levels, ways = (batch.column(c) for c in ("values", "levels", "ways"))
             for first, after, data, offsets in pieces(batch.column("text")):
-                sets = Sets(data, offsets, n)
-                for i in range(after - first):
-                    found.append((sets.value[sets.first[i]:sets.first[i + 1]].tobytes(), values[first + i].values.to_numpy().tobytes(), marks[first + i].values.to_numpy().astype(np.uint8).tobytes()))
-            columns = list(zip(*found, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "block", "size", "l")] + [pa.array(c, pa.binary()) for c in columns], ["rep", "block", "size", "l", "set", "values", "levels"])
-
-    return rows.mapInArrow(run, "rep long, block long, size long, l long, set binary, values binary, levels binary").dropDuplicates(["rep"])
+                sets, out = Sets(data, offsets, n), []
+                for i in range(first, after):
+                    whole = sets.value[sets.first[i - first]:sets.first[i - first + 1]].tobytes()
+                    value, level = values[i].values.to_numpy().tobytes(), levels[i].values.to_numpy().astype(np.uint8).tobytes()
+                    out += [(w["block"], w["part"], w["guest"], rep[i], size[i], l[i], whole, value, level) for w in ways[i].as_py()]
+                    if len(out) >= 1000:
+                        yield _rows(out, _SENT)
+                        out = []
+                yield _rows(out, _SENT)
+
+    return rows.mapInArrow(run, "block long, part long, guest boolean, rep long, size long, l long, set binary, values binary, levels binary")
