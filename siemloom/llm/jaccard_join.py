@@ -7,8 +7,8 @@ documents that its prefix meets, and the part of them that can share l of it. A
 that l before it is verified by the whole sets.
 
 1. Documents of equal sets form classes, known by a 64-bit sum of the set; a class takes part once.
-2. Prefix shingles meet in buckets; those that only one class has are dropped. Classes left are dealt into blocks of about BLOCK by the least
-   shingle they share with others, so that near copies stand together.
+2. Prefix shingles meet in buckets; those that only one class has are dropped. Classes left are dealt into blocks of about BLOCK by the
+   shingle they share with the most others, so that near copies stand together.
 3. A class visits each block that holds enough of its prefix shingles; the pairs within the block are counted by shared prefix shingles, then
    verified. A visit brings a set once, not once for each pair, and no pairs are ever rows: a visit returns a forest of the links it found.
 4. Components of the links give each document the least id reachable.
@@ -33,7 +33,7 @@ from siemloom.llm.words import U, Words, by_bucket, mix, pieces, signed, small_b
 
 CELLS_BITS, SEGMENTS = 20, 32
 MOST, VERIFY = 4, 20
-BLOCK, VISITORS = 96, 192
+BLOCK, VISITORS = 256, 256
 GROUP_BYTES = 4 << 20
 
 
@@ -127,7 +127,7 @@ def prefixes(sets: Sets, cells: np.ndarray, percent: int) -> tuple[np.ndarray, n
 
 
 def _meetings(docs: DataFrame, cells, n: int, percent: int, groups: int) -> DataFrame:
-    """class, size, l and the shingles of its prefix that another class has too, with their levels."""
+    """class, the shingle it shares with the most others (near), size, l and the shingles of its prefix that another class has too, with their levels."""
     kinds = {"bucket": pa.int64(), "values": pa.binary(), "classes": pa.binary(), "marks": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +155,14 @@ def _meetings(docs: DataFrame, cells, n: int, percent: int, groups: int) -> Data
         # a partner's size differs by the threshold at most, so the next in order of size must be near enough
         near = (value[1:] == value[:-1]) & (100 * size[:-1] >= percent * size[1:])
         keep = np.r_[False, near] | np.r_[near, False] if len(value) else np.zeros(0, bool)
-        return pd.DataFrame({"class": own[keep], "value": signed(value[keep]), "mark": mark[keep]})
+        value = value[keep]
+        many = np.searchsorted(value, value, "right") - np.searchsorted(value, value, "left")
+        return pd.DataFrame({"class": own[keep], "value": signed(value), "mark": mark[keep], "many": many})
 
     met = docs.select("text").mapInArrow(run, "bucket long, values binary, classes binary, marks binary").groupBy("bucket").applyInPandas(
-        meet, "class long, value long, mark long")
+        meet, "class long, value long, mark long, many long")
     return met.groupBy("class").agg(
+        F.max(F.struct("many", "value"))["value"].alias("near"),
         F.first(F.shiftright("mark", 16)).alias("size"), F.first(F.shiftright("mark", 8).bitwiseAND(255)).alias("l"),
         F.array_sort(F.collect_list(F.struct("value", F.col("mark").bitwiseAND(255).cast("int").alias("level")))).alias("shared"))
 
@@ -244,8 +247,8 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     cells = spark.sparkContext.broadcast(counts)
     reps = surveyed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     active = _meetings(docs, cells, n, percent, groups).join(reps, "class")
-    active = cut(active.withColumn("near", F.element_at("shared", 1)["value"]))
-    # blocks: classes by the least shingle they share, dealt by hash where there are many
+    active = cut(active)
+    # blocks: classes by the shingle that they share with the most, dealt by hash where there are many
     many = active.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     placed = active.join(many, "near").withColumn("block", F.xxhash64("near", F.pmod(F.xxhash64("class"), "parts"))).drop("near", "parts")
     placed = cut(placed)
