@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group the document with the least id stays."""
     groups = jaccard_join.similar(docs, SHINGLE, SIMILAR)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(stay.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("stays"), "left_semi")
+    kept = docs.join(stay.hint("shuffle_hash"), docs["doc_id"].cast("long") == stay["stays"], "left_semi")
     return kept.dropDuplicates(["doc_id"])
 
 
