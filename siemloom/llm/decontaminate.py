@@ -1,9 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask marks the words of a window that count; the others may be anything. For each mask, the hash of the counting words at every place of the
-benchmark texts is looked up at every place of the training texts. A hit fixes an alignment of an item with a text; on it the best run of words is
-found, a word that equals its partner counting 1 and one that differs costing COST. The run is an overlap if enough of its words are equal: at least
-`least`, or all of a shorter item's.
+benchmark texts is looked up at every place of the training texts. A hit fixes an alignment of an item with a text; on it all runs of words are
+found, a word that equals its partner counting 1 and one that differs costing COST: a run is longest among those of which no head and no tail sums to
+less than 0. It is an overlap if enough of its words are equal: at least LEAST, or all of a shorter item's.
+
+No overlap lacks a hit: the part of a run up to its LEAST-th equal word is one of 3,876 patterns (no head of it is below 0), and in each of them one
+of the masks fits on equal words. A shorter item is equal as a whole and holds the mask without gaps, or is found by its exact words.
 
 The benchmark is taken in blocks of at most BLOCK_WORDS words; each block is sent to all tasks and every text meets every block, so the benchmark
 may have any size. Words are runs of digits, letters and bytes outside ASCII, in lower case. Null and empty texts on either side match nothing.
@@ -21,9 +24,11 @@ from pyspark.sql import functions as F
 
 from siemloom.llm.words import NON_ALNUM, U, Words, grams, mix, pieces, small_batches
 
-#: 1: the word counts. Any of the masks survives single substitutions that break the others.
-MASKS = ("11101100111", "110100110101011", "1111111", "101010101010101")
+#: 1: the word counts. Chosen greedily among all masks of six such words until every pattern that LEAST and COST allow holds one.
+MASKS = ("111111", "111001101", "110110101", "11101011", "1101100101", "1110101001", "110011011")
 LEAST, COST = 13, 2
+#: Pairs of words compared at once.
+CELLS = 1 << 20
 BLOCK_WORDS = 100_000
 #: Bits of the table that is asked before the sorted hashes are.
 SIEVE = 20
@@ -34,20 +39,44 @@ def _prepare(column: pa.Array) -> Iterator[tuple[int, Words]]:
         yield first, Words(data, offsets, NON_ALNUM, lower=True)
 
 
-def seeds(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places where the mask fits in a text, and the hashes there."""
-    out = np.zeros(words.n, U)
-    for j, c in enumerate(mask):
-        if c == "1" and j < words.n:
-            out[:words.n - j] += grams(words.hashes[j:], 1) * U((2 * j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-    at = np.flatnonzero(words.left >= len(mask))
-    return at, mix(out[at] ^ U(hash_of_mask(mask)))
+def seeds(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each mask the places where it fits in a text, and the hashes there."""
+    single = grams(words.hashes, 1)
+    for mask in MASKS:
+        out = np.zeros(words.n, U)
+        for j, c in enumerate(mask):
+            if c == "1" and j < words.n:
+                out[:words.n - j] += single[j:] * U((2 * j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        at = np.flatnonzero(words.left >= len(mask))
+        yield at, mix(out[at] ^ U(hash_of_mask(mask)))
 
 
 def hash_of_mask(mask: str) -> int:
     return int(mask, 2) * 2 + 1 << 20
 
 
+def runs(equal: np.ndarray) -> list[tuple[int, int]]:
+    """First word and word after the last of all runs of an alignment."""
+    edges = np.flatnonzero(np.diff(np.r_[False, equal, False].astype(np.int8))).reshape(-1, 2).tolist()
+    found: list[tuple[int, int, int, int]] = []  # first, after, sum before, sum with it
+    total, last = 0, 0
+    for a, b in edges:
+        total -= COST * (a - last)
+        new, total, last = (a, b, total, total + b - a), total + b - a, b
+        j = len(found) - 1
+        while j >= 0:
+            if found[j][2] > new[2]:
+                j -= 1
+            elif found[j][3] > new[3]:
+                break
+            else:  # from the j-th on all are one run, which may join earlier ones
+                new = (found[j][0], new[1], found[j][2], new[3])
+                del found[j:]
+                j = len(found) - 1
+        found.append(new)
+    return [(a, b) for a, b, *_ in found]
+
+
 class Index:
     """Of a block of benchmark items."""
 
@@ -55,8 +84,7 @@ class Index:
         # a text of fewer words than a mask is found by its exact words
         (_, self.words), = _whole(texts)
         self.ids, parts = ids, []
-        for mask in MASKS:
-            at, hashes = seeds(self.words, mask)
+        for at, hashes in seeds(self.words):
             parts.append((hashes, at))
         for n in range(1, min(map(len, MASKS))):
             at = np.flatnonzero((self.words.counts[self.words.doc] == n) & (self.words.left == n))
@@ -78,10 +106,10 @@ class Index:
         return np.repeat(at, n), self.places[np.repeat(a, n) + inner]
 
     def overlaps(self, words: Words) -> list[tuple[int, int, int, int, int]]:
-        """Text's row, item, first word, word after the last, equal words; at most one for each alignment."""
+        """Text's row, item, first word, word after the last, equal words of every overlap."""
         if not words.n or not len(self.hashes):
             return []
-        found = [self._hits(*seeds(words, mask)) for mask in MASKS]
+        found = [self._hits(*seed) for seed in seeds(words)]
         for n in self.short:
             at = np.flatnonzero(words.left >= n)
             found.append(self._hits(at, words.grams(n)[at]))
@@ -91,20 +119,27 @@ class Index:
         item, doc = self.words.doc[place], words.doc[at]
         # where the item's first word would stand
         begin = at - (place - self.words.first[item])
-        kept = np.unique(np.stack([doc, item, begin], 1), axis=0)
-        out = []
-        for doc, item, begin in kept.tolist():
-            a, n = int(self.words.first[item]), int(self.words.counts[item])
-            lo, hi = max(begin, int(words.first[doc])), min(begin + n, int(words.first[doc + 1]))
-            equal = words.hashes[lo:hi] == self.words.hashes[a + lo - begin:a + hi - begin]
-            total = np.r_[0, np.cumsum(np.where(equal, 1, -COST))]
-            gain = total - np.minimum.accumulate(total)
-            stop = int(gain.argmax())
-            start = int(total[:stop + 1].argmin())
-            same = int(equal[start:stop].sum())
-            if same >= min(LEAST, n):
-                base = int(words.first[doc])
-                out.append((doc, int(self.ids[item]), lo + start - base, lo + stop - base, same))
+        doc, item, begin = np.unique(np.stack([doc, item, begin], 1), axis=0).T
+        first, size = self.words.first[item], self.words.counts[item]
+        lo, hi = np.maximum(begin, words.first[doc]), np.minimum(begin + size, words.first[doc + 1])
+        shift, need, out = first - begin, np.minimum(LEAST, size), []
+        ends = np.cumsum(hi - lo)
+        cuts = np.searchsorted(ends, np.arange(CELLS, ends[-1] + CELLS, CELLS), "right")
+        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(ends)], strict=True):
+            if a == b:
+                continue
+            n = (hi - lo)[a:b]
+            at = np.cumsum(n) - n
+            place = np.repeat(lo[a:b] - at, n) + np.arange(n.sum())
+            equal = words.hashes[place] == self.words.hashes[place + np.repeat(shift[a:b], n)]
+            same = np.add.reduceat(equal.astype(np.int64), at)
+            for k in np.flatnonzero(same >= need[a:b]).tolist():
+                own, i = equal[at[k]:at[k] + n[k]], a + k
+                base = int(lo[i] - words.first[doc[i]])
+                for start, stop in runs(own):
+                    inside = int(own[start:stop].sum())
+                    if inside >= need[i]:
+                        out.append((int(doc[i]), int(self.ids[item[i]]), base + start, base + stop, inside))
         return out
 
 

@@ -71,6 +71,68 @@ def test_decontaminate(spark):
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0 and decontaminate.overlaps(docs.limit(0), bench).count() == 0
 
 
+def overlapping(a, b):
+    """Runs of every alignment by trying all spans; a's words from and to, equal words."""
+    least, out = min(decontaminate.LEAST, len(b)), set()
+    for shift in range(-len(b) + 1, len(a)):
+        lo, hi = max(0, shift), min(len(a), shift + len(b))
+        equal = [a[j] == b[j - shift] for j in range(lo, hi)]
+        spans = []
+        for i in range(len(equal)):
+            total, best = 0, 0
+            for j in range(i, len(equal)):
+                total += 1 if equal[j] else -decontaminate.COST
+                if total < 0:
+                    break
+                best = max(best, total)
+                if best == total:  # no tail is below 0: none of the sums before is above the last
+                    spans.append((i, j + 1))
+        for i, j in spans:
+            if not any((x, y) != (i, j) and x <= i and j <= y for x, y in spans) and sum(equal[i:j]) >= least:
+                out.add((lo + i, lo + j, sum(equal[i:j])))
+    return out
+
+
+def test_every_overlap_has_a_seed():
+    patterns = []
+
+    def extend(pattern, total, equal):
+        if equal == decontaminate.LEAST:
+            patterns.append(pattern)
+        elif total >= 0:
+            extend(pattern + "1", total + 1, equal + 1)
+            extend(pattern + "0", total - decontaminate.COST, equal)
+
+    extend("", 0, 0)
+    masks = [re.compile(m.replace("0", ".")) for m in decontaminate.MASKS]
+    assert len(patterns) == 3876 and all(any(m.search(p) for m in masks) for p in patterns)
+
+
+def test_decontaminate_equals_all_alignments(spark):
+    r = random.Random(9)
+    word = iter(range(10**6))
+    items = [(k, " ".join(f"i{next(word)}" for _ in range(n))) for k, n in enumerate([5, 6, 9, 12, 13, 14, 15, 16, 20, 25, 32, 40, 60])]
+    items.append((20, " ".join(r.choice("abc") for _ in range(24))))
+    rows = [(9000 + k, " ".join(r.choice("abcd") for _ in range(60)), *[None] * 7) for k in range(10)]
+    for k, t in items[:-1]:
+        for trial in range(40):
+            w = t.split()
+            every = (None, 5, 4, 3)[trial] if trial < 4 else None
+            changed = range(every - 1, len(w), every) if every else r.sample(range(len(w)), min(len(w), r.randint(0, len(w) // 3)))
+            for j in changed:
+                w[j] = "changed"
+            rows.append((100 * k + trial, " ".join(["before"] * r.randint(0, 3) + w + ["after"] * r.randint(0, 3)), *[None] * 7))
+    w = items[11][1].split()[:34]  # the exact run gains more than the one that is long enough
+    w[12:18], w[22], w[27] = ["changed"] * 6, "x", "x"
+    rows.append((5000, " ".join(w), *[None] * 7))
+    want = {(i, k, *x) for i, t, *_ in rows for k, u in items for x in overlapping(t.split(), u.split())}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(x) for x in decontaminate.overlaps(frame(spark, rows), bench).collect()]
+    assert set(got) == want and len(got) == len(want) and (5000, 11, 18, 34, 14) in want
+    left = {x.doc_id for x in decontaminate.without_overlaps(frame(spark, rows), bench).collect()}
+    assert left == {i for i, *_ in rows} - {x[0] for x in want}
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     bench = spark.createDataFrame([(k, " ".join(f"u{k}x{j}" for j in range(20))) for k in range(5)], "item_id long, text string")
