@@ -16,7 +16,9 @@ earlier start); every word in a repeated window is removed. Both methods judge w
 4. All but the first of equal windows are removed, in a pass over the documents.
 
 The documents' texts are shuffled by id once; the passes share that exchange. Words are runs of bytes other than ASCII white space, unchanged.
-Null and empty texts have no words. Rows without an id are left out. Rows that share an id count as separate texts of one place each; what is removed by that id is removed from each.
+Null and empty texts have no words. Rows without an id are left out. Rows that share an id
+but not the text are told apart by a tag, a digest of the text (0 where an id has one text); none of them starts earlier than another. Equal rows are one
+document and lose the same.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -77,8 +79,8 @@ def _counts(docs: DataFrame, window: int) -> np.ndarray:
     return out.reshape(LETTERS, BINS)
 
 
-_KIND = {"bucket": pa.int64(), "keys": pa.binary(), "docs": pa.binary(), "starts": pa.binary(), "known": pa.int32()}
-_ENTRIES = "bucket long, keys binary, docs binary, starts binary, known int"
+_KIND = {"bucket": pa.int64(), "keys": pa.binary(), "docs": pa.binary(), "starts": pa.binary(), "tags": pa.binary(), "known": pa.int32()}
+_ENTRIES = "bucket long, keys binary, docs binary, starts binary, tags binary, known int"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -108,18 +110,18 @@ def _repeated_hashes(texts: DataFrame, window: int, gram: int, groups: int) -> D
             number = np.cumsum(new) - 1
             often = np.bincount(number, minlength=1)[number] > 1 if len(key) else np.zeros(0, bool)
             alike = np.r_[False, ~new[1:] & (doc[1:] == doc[:-1])][:len(key)]
-            # A hash goes once a batch. Where it stands twice in it, its documents are known, and only the hash (document -1) is compared.
-            rows = [(b, k, d, b"", 0) for b, k, d in by_bucket((key % U(groups)).astype(np.int64)[new], key[new], np.where(often, -1, doc)[new])]
+            # A hash goes once a batch. Where it stands twice in it, its documents are known, and only the hash (marked as often) is compared.
+            rows = [(b, k, d, b"", o, 0) for b, k, d, o in by_bucket((key % U(groups)).astype(np.int64)[new], key[new], doc[new], often[new])]
             known = often & ~alike
-            yield _batch(rows + [(b, k, d, b"", 1) for b, k, d in by_bucket(doc[known] % groups, key[known], doc[known])])
+            yield _batch(rows + [(b, k, d, b"", b"", 1) for b, k, d in by_bucket(doc[known] % groups, key[known], doc[known])])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         some, rest = rows[rows.known == 0], rows[rows.known == 1]
-        key, doc = _joined(some, "keys", U), _joined(some, "docs", np.int64)
+        key, doc, often = _joined(some, "keys", U), _joined(some, "docs", np.int64), _joined(some, "tags", bool)
         order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
+        key, doc, often = key[order], doc[order], often[order]
         same = key[1:] == key[:-1]
-        twice = (np.r_[same, False] | np.r_[False, same])[:len(key)] & (doc >= 0)
+        twice = (np.r_[same, False] | np.r_[False, same])[:len(key)] & ~often
         return pd.DataFrame({"doc_id": np.r_[doc[twice], _joined(rest, "docs", np.int64)],
                              "hash": np.r_[signed(key[twice]), _joined(rest, "keys", np.int64)]})
 
@@ -162,16 +164,29 @@ class Route:
         return [suffix, suffix << U(32), reach.astype(U) << U(32)], suffix
 
 
-def _compare(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their letters, equal ones by place; and which of them share a whole window with their neighbour before."""
-    order = np.lexsort((start, doc, *key.T[::-1]))
-    kept = key[order]
+def _compare(key: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in the order of their letters, equal ones by place; which of them have an earlier place among their equals; which are the place before again."""
+    order = np.lexsort((start, tag, doc, *key.T[::-1]))
+    kept, doc, tag, start = key[order], doc[order], tag[order], start[order]
     depth = np.cumprod(kept[1:] == kept[:-1], axis=1, dtype=np.int8).sum(1)  # longest common prefix of neighbours, in letters
-    return order, np.r_[False, depth == key.shape[1]][:len(order)]
+    alike = np.r_[False, depth == key.shape[1]][:len(order)]
+    if not len(order):
+        return order, alike, alike
+    at = np.arange(len(order))
+    leader = np.maximum.accumulate(np.where(alike, 0, at))
+    own = alike & np.r_[False, (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1])]
+    first = np.maximum.accumulate(np.where(own, 0, at))
+    again = (doc > doc[leader]) | (start > start[first])
+    return order, again, own & np.r_[False, start[1:] == start[:-1]]
+
+
+def digest(md5: Column) -> Column:
+    """60 bits of a hexadecimal digest."""
+    return F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
 
 
 def repeated_windows(docs: DataFrame, window: int, gram: int, trees: bool) -> tuple[DataFrame, DataFrame]:
-    """The documents (all columns), dealt by id, and doc_id and start of every repeated window; start -1: the whole document."""
+    """The documents (all columns), dealt by id, with their tag, and doc_id, tag and start of every repeated window; start -1: the whole document."""
     small_batches(docs.sparkSession, 1500)
     docs = docs.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
     groups = _groups(docs)
@@ -179,19 +194,25 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, trees: bool) -> tu
     if trees:
         counts = _counts(docs, window)
         heavy = counts > max(64, counts[0].sum() * SHARE)
-    texts = docs.repartition("doc_id")
     sums = docs.where("text IS NOT NULL").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("sum"))
     firsts = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sum", "first")
-    copies = sums.join(firsts, "sum").where("doc_id > first").select("doc_id")
-    alone = texts.select("doc_id", "text").join(copies.hint("shuffle_hash"), "doc_id", "left_anti")
+    copies = sums.join(firsts, "sum").where("doc_id > first").select("doc_id", digest(F.hex("sum")).alias("copied"))
+    several = docs.where("text IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    several = several.where("low < high").select("doc_id", F.lit(True).alias("several"))
+    tag = F.when(F.col("several") & F.col("text").isNotNull(), digest(F.md5(F.col("text").cast("binary")))).otherwise(0)
+    texts = docs.repartition("doc_id").join(several.hint("shuffle_hash"), "doc_id", "left").withColumn("tag", tag).drop("several")
+    # An id alone is the key of these joins, so that the texts stay where they are.
+    gone = copies.join(several.hint("shuffle_hash"), "doc_id", "left").select("doc_id", F.when(F.col("several"), F.col("copied")).otherwise(0).alias("tag"))
+    other = gone.select(F.col("doc_id").alias("id"), F.col("tag").alias("copied")).hint("shuffle_hash")
+    alone = texts.select("doc_id", "tag", "text").join(other, (F.col("doc_id") == F.col("id")) & (F.col("tag") - F.col("copied") == 0), "left_anti")
     hashes = _repeated_hashes(alone, window, gram, groups).groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-    candidates = alone.join(hashes.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "hashes")
+    candidates = alone.join(hashes.hint("shuffle_hash"), "doc_id").select("doc_id", "tag", "text", "hashes")
     route, width = Route(window, gram, groups, heavy), LETTERS + 1 if trees else 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            found = [(np.zeros((0, width), np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+            ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
+            found = [(np.zeros((0, width), np.uint32), *(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32)))]
             wanted = np.unique(batch.column("hashes").flatten().to_numpy().view(U))
             for first, _, data, offsets in pieces(batch.column("text")):
                 words = Words(data, offsets)
@@ -200,23 +221,24 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, trees: bool) -> tu
                 if not len(at):
                     continue
                 at = at[wanted[np.minimum(np.searchsorted(wanted, minima[at]), len(wanted) - 1)] == minima[at]]
-                found.append((*route(words, at, minima), ids[first + words.doc[at]], (at - words.first[words.doc[at]]).astype(np.int32)))
-            key, bucket, doc, start = (np.concatenate(x) for x in zip(*found, strict=True))
-            order, again = _compare(key, doc, start)
-            rest, known = np.sort(order[~again]), np.sort(order[again])
-            rows = [(b, *columns, 0) for b, *columns in by_bucket(bucket[rest], key[rest], doc[rest], start[rest])]
-            yield _batch(rows + [(b, b"", *columns, 1) for b, *columns in by_bucket(doc[known] % groups, doc[known], start[known])])
+                row = first + words.doc[at]
+                found.append((*route(words, at, minima), ids[row], tags[row], (at - words.first[words.doc[at]]).astype(np.int32)))
+            key, bucket, doc, tag, start = (np.concatenate(x) for x in zip(*found, strict=True))
+            order, again, same = _compare(key, doc, tag, start)
+            rest, known = np.sort(order[~again & ~same]), np.sort(order[again & ~same])
+            rows = [(b, *columns, 0) for b, *columns in by_bucket(bucket[rest], key[rest], doc[rest], start[rest], tag[rest])]
+            yield _batch(rows + [(b, b"", *columns, 1) for b, *columns in by_bucket(doc[known] % groups, doc[known], start[known], tag[known])])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         some, rest = rows[rows.known == 0], rows[rows.known == 1]
         key = _joined(some, "keys", np.uint32).reshape(-1, width)
-        doc, start = _joined(some, "docs", np.int64), _joined(some, "starts", np.int32)
-        order, again = _compare(key, doc, start)
+        places = [(c, t, _joined(some, f"{c}s", t)) for c, t in (("doc", np.int64), ("tag", np.int64), ("start", np.int32))]
+        order, again, _ = _compare(key, *(x for *_, x in places))
         later = order[again]
-        return pd.DataFrame({"doc_id": np.r_[doc[later], _joined(rest, "docs", np.int64)], "start": np.r_[start[later], _joined(rest, "starts", np.int32)]})
+        return pd.DataFrame({"doc_id" if c == "doc" else c: np.r_[x[later], _joined(rest, f"{c}s", t)] for c, t, x in places})
 
-    found = candidates.mapInArrow(run, _ENTRIES).groupBy("bucket").applyInPandas(meet, "doc_id long, start int")
-    return texts, found.unionByName(copies.withColumn("start", F.lit(-1)))
+    found = candidates.mapInArrow(run, _ENTRIES).groupBy("bucket").applyInPandas(meet, "doc_id long, tag long, start int")
+    return texts, found.unionByName(gone.withColumn("start", F.lit(-1)))
 
 
 def remove_repeats(docs: DataFrame, window: int, gram: int, trees: bool, keep: bool = False) -> DataFrame:
@@ -228,19 +250,24 @@ def remove_repeats(docs: DataFrame, window: int, gram: int, trees: bool, keep: b
     docs = docs.select("doc_id", "text", (F.struct(*other) if other else F.struct(F.lit(0).alias("none"))).alias("rest"))
     rest = docs.schema["rest"]
     texts, found = repeated_windows(docs if keep else docs.select("doc_id", "text"), window, gram, trees)
-    starts = found.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    tagged = F.col("tag") != 0
+    starts = found.groupBy("doc_id").agg(
+        F.collect_list(F.when(~tagged, F.col("start"))).alias("starts"), F.collect_list(F.when(tagged, F.struct("tag", "start"))).alias("own"))
     rows = texts.join(starts.hint("shuffle_hash"), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, lists = batch.column("text"), batch.column("starts")
+            text, lists, own, tags = (batch.column(c) for c in ("text", "starts", "own", "tag"))
             n_words, n_removed, spans, kept = [], [], [], []
             for i in range(batch.num_rows):
                 words = (text[i].as_py() or "").encode().split()
                 n_words.append(len(words))
                 gone, value = np.zeros(len(words) + 1, bool), lists[i].values
                 if value is not None:
-                    at = value.to_numpy()
+                    at, tag = value.to_numpy(), tags[i].as_py()
+                    if tag:
+                        pairs = own[i].values
+                        at = pairs.field("start").to_numpy()[pairs.field("tag").to_numpy() == tag]
                     if (at < 0).any():
                         at = np.arange(0, max(0, len(words) - window + 1))
                     at = at[at + window <= len(words)]

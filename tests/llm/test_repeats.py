@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,34 @@ def test_empty_and_repeated_rows(spark):
     assert twice.where(F.size("spans") > 0).count() > 0
 
 
+@pytest.mark.parametrize("trees,window", [(True, 20), (False, 12)])
+def test_rows_that_share_an_id(spark, trees, window):
+    r = random.Random(6)
+    text = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    a, b, c, d = (text(60) for _ in range(4))
+    texts = [(-9, d), (-8, f"new {d}"), (-1, text(40)), (-1, f"{c} {text(9)}"), (1, a), (5, a), (5, b), (5, f"{b} {text(5)}"), (5, f"{text(3)} {c}"),
+             (6, f"{text(30)} {b}"), (7, f"{d[:400]} {d[:400]}"), (8, f"{a} {a}"), (8, None), (8, "")]
+    texts += [(5, f"{e} {text(2)} {e}") for e in (text(25), text(30))] + [(9, f"{text(30)} {text(30)}")]
+    for rows in (texts, texts + texts):
+        first = {}
+        for i, t in rows:
+            w = (t or "").encode().split()
+            for j in range(len(w) - window + 1):
+                first[tuple(w[j:j + window])] = min(i, first.get(tuple(w[j:j + window]), i))
+        want = []
+        for i, t in rows:
+            w, seen, gone = (t or "").encode().split(), set(), set()
+            for j in range(len(w) - window + 1):
+                k = tuple(w[j:j + window])
+                if first[k] < i or k in seen:
+                    gone.update(range(j, j + window))
+                seen.add(k)
+            want.append((i, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        out = (repeats.suffix_trees if trees else repeats.suffix_arrays)(docs, window)
+        assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept) for x in out.collect()) == sorted(want)
+
+
 def test_kept_columns(spark):
     rows = odd_rows()
     out = repeats.suffix_trees(frame(spark, rows), keep=True)
