@@ -1,4 +1,4 @@
-"""Removal of word passages that occur earlier: by prefix-partitioned suffix trees, or by sparse suffix arrays.
+"""Removal of word passages that occur earlier: by prefix-partitioned suffix trees, or by hashes of windows.
 
 A window is `window` consecutive words of one document. A window is repeated if its word sequence also starts earlier (smaller id, or same document and
 earlier start); every word in a repeated window is removed. Both methods judge windows on the input and find the same ones.
@@ -11,8 +11,8 @@ earlier start); every word in a repeated window is removed. Both methods judge w
    `suffix_trees`: a suffix is a string of letters of window / 5 words. Groups are prefixes of one letter, and of more letters where, over the whole corpus, a prefix has
    more than its share of suffixes. A group's suffixes are sorted into the order of its tree's leaves; the longest common prefixes of neighbours give
    its internal nodes, and those as deep as a window are the repeats.
-   `suffix_arrays`: only suffixes at minimiser places are kept, with the words to the left of the place that a window may begin with. A group holds
-   suffixes of the same minimiser and reach to the left; it is sorted, neighbours are compared, and equal ones are extended over the minimisers that follow.
+   `suffix_arrays`: not yet a suffix array. Each window goes under its least gram, its reach to the left of it and the hash of the whole window; equal keys
+   are repeats. No suffix of words is sorted and no match is extended.
 4. All but the first of equal windows are removed, in a pass over the documents.
 
 The documents' texts are shuffled by id once; the passes share that exchange. Words are runs of bytes other than ASCII white space, unchanged.
