@@ -1,7 +1,7 @@
 """Training corpus: from documents to token ids, in five stages.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of `documents`. Rows whose id is
-null go at the second stage. A text that loses a passage is its words left, joined by a space, with n_chars counted anew; no document goes for that.
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of `documents`. Rows without
+an id pass the second and third stages as they are. A text that loses a passage is its words left, joined by a space, with n_chars counted anew; no document goes for that.
 """
 
 from __future__ import annotations
@@ -30,11 +30,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the least id stays."""
+    """Of each group the document with the least id stays; of rows equal in id and text the least one, of rows equal in id alone all."""
     groups = jaccard_join.similar(docs, SHINGLE, SIMILAR)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
     kept = docs.join(stay.hint("shuffle_hash"), docs["doc_id"].cast("long") == stay["stays"], "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if other:
+        least = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*other)).alias("least"))
+        kept = least.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"least.`{c}`").alias(c) for c in docs.columns])
+    else:
+        kept = kept.dropDuplicates()
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +51,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         column.setdefault(c, F.col(f"rest.`{c}`"))
     if "n_chars" in docs.columns:
         column["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(column["n_chars"])
-    return out.select(*[column[c].alias(c) for c in docs.columns])
+    return out.select(*[column[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,3 +16,14 @@ def test_stages_on_odd_rows(spark):
             out = stage(spark, rows, SF)
             assert stage is C.tokens or out.columns == rows.columns
             assert out.count() <= rows.count()
+
+
+def test_rows_without_an_id_and_of_one_id(spark):
+    text = lambda k: " ".join(f"p{k}x{j}" for j in range(40))
+    rows = [(None, text(0)), (None, text(1)), (5, text(2)), (5, text(3)), (6, text(4)), (6, text(4))]
+    docs = frame(spark, [(i, t, "b" if k == 4 else "a", *[None] * 6) for k, (i, t) in enumerate(rows)])
+    want = sorted(map(repr, rows[:5]))
+    for stage in (C.near_duplicates, C.substrings):
+        docs = stage(spark, docs, SF)
+        kept = docs.collect()
+        assert sorted(repr((r.doc_id, r.text)) for r in kept) == want and all(r.lang == "a" for r in kept)
