@@ -165,10 +165,12 @@ def packed(values: np.ndarray) -> bytes:
 
 
 def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """Each bucket with its share of the columns as bytes."""
+    """Each bucket with its share of the columns as bytes; none where there are no rows."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     kept = bucket[order]
-    cuts = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1]]) if len(kept) else np.zeros(0, int)
+    cuts = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1]])
     columns = [c[order] for c in columns]
     for a, b in zip(cuts, [*cuts[1:], len(kept)], strict=True):
         yield int(kept[a]), *(packed(c[a:b]) for c in columns)
