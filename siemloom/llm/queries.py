@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siemloom.llm import block_topk, byte_bpe, decontaminate, jaccard_join, licences, line_crf, preferences, repeats, toxicity
+from siemloom.llm import block_topk, byte_bpe, decontaminate, jaccard_join, lattice_lm, licences, line_crf, periodic_runs, preferences, repeats, toxicity, whitening
 from siemloom.llm.training import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,10 +74,25 @@ def op10_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_topk.top_k(rows, F.col("id") % 20 == 0, 20)
 
 
+def op11_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = lattice_lm.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice_lm.score(table(spark, sf_dir, "documents"), model, remainder(5) == 1)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.runs(periodic_runs.with_planted(table(spark, sf_dir, "documents"))))
+
+
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_decontaminate, op3_byte_bpe, op4_suffix_array_dedup, op5_jaccard_join, op6_licence_scan, op7_toxicity, op8_quality,
-        op9_preference_format, op10_block_topk)}
+        op9_preference_format, op10_block_topk, op11_lattice_lm, op12_whitening, op13_periodic_runs)}
 
 
 def all_oracles() -> dict[str, str]:
