@@ -29,11 +29,12 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, spread: Column) ->
     """Left join with a table unique in ``key``; heavy keys of ``left`` are split by ``spread``.
 
     Rows of a heavy key get one of ``SALTS`` salts; the one matching row of
-    ``right`` is repeated per salt.  All other keys keep salt 0.
+    ``right`` is repeated per salt.  All other keys keep salt 0.  A null key
+    matches nothing, so its rows are dealt out by a salt alone.
     """
     hot = F.broadcast(hot_keys(left, key).withColumn("_hot", F.lit(True)))
     salted = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"),
+        "_salt", F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"),
     ).drop("_hot")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     copies = right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
@@ -42,8 +43,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, spread: Column) ->
 
 def dimension_join(left: DataFrame, dimension: DataFrame, key: str, spread: Column) -> DataFrame:
     """Left join with a dimension unique in ``key``: broadcast when small, spread otherwise."""
-    if fits_broadcast(dimension):
-        return left.join(F.broadcast(dimension), key, "left")
+    if left.isStreaming or fits_broadcast(dimension):
+        return left.join(dimension if left.isStreaming else F.broadcast(dimension), key, "left")
     return spread_join(left, dimension, key, spread)
 
 

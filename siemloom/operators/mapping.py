@@ -15,7 +15,7 @@ TYPES = {"long": "bigint", "integer": "int", "string": "string"}
 
 
 def read_spec(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of a JSON mapping spec: field maps and value maps."""
+    """Rows of JSON mapping specs, one spec a file: field maps and value maps."""
     raw = spark.read.text(path, wholetext=True)
     block = ("struct<target_class_uid:int,target_category_uid:int,"
              "field_maps:array<struct<source_field:string,target_field:string,data_type:string,transformation:string>>,"
@@ -45,19 +45,34 @@ def spec_rows(spark: SparkSession) -> DataFrame:
               " target_field string, data_type string, transformation string")
 
 
-def load_block(path: str, class_name: str) -> dict:
-    """One class block of a spec file on the driver, in the form of the built-in specs."""
-    with open(path, encoding="utf-8") as f:
-        block = json.load(f)["mappings"][class_name]
-    return {
-        "target_class_uid": block["target_class_uid"], "target_category_uid": block["target_category_uid"],
-        "field_maps": [
-            (m["source_field"], m["target_field"], m["data_type"], m.get("transformation"))
-            for m in block["field_maps"]],
-        "value_mappings": {
-            t: (v["source_field"], v["default_value"], v["value_map"])
-            for t, v in block.get("value_mappings", {}).items()},
-    }
+#: Rows of specs (fields and words of values) that are compiled into one projection.
+MAX_SPEC_ROWS = 10_000
+
+
+def blocks_of(fields: DataFrame, values: DataFrame) -> dict[tuple[str, str], dict]:
+    """Spec blocks by (schema, class), in the form of the built-in specs, from the tables of :func:`read_spec`."""
+    rows, words = (df.limit(MAX_SPEC_ROWS + 1).collect() for df in (fields, values))
+    if max(len(rows), len(words)) > MAX_SPEC_ROWS:
+        raise ValueError(f"more than {MAX_SPEC_ROWS} rows of mapping specs")
+    blocks: dict[tuple[str, str], dict] = {}
+    for r in rows:
+        block = blocks.setdefault((r.source_schema, r.class_name), {
+            "target_class_uid": r.target_class_uid, "target_category_uid": r.target_category_uid, "field_maps": [], "value_mappings": {}})
+        block["field_maps"].append((r.source_field, r.target_field, r.data_type, r.transformation))
+    for r in words:
+        maps = blocks[r.source_schema, r.class_name]["value_mappings"]
+        maps.setdefault(r.target, (r.source_field, r.default_value, {}))[2][r.word] = r.code
+    return blocks
+
+
+def write_specs(spark: SparkSession, specs: dict, path: str) -> None:
+    """Specs as JSON texts, one a row, as :func:`read_spec` takes them."""
+    texts = [(json.dumps({"source_schema": schema, "mappings": {name: {
+        "target_class_uid": b["target_class_uid"], "target_category_uid": b["target_category_uid"],
+        "field_maps": [dict(zip(("source_field", "target_field", "data_type", "transformation"), f, strict=True)) for f in b["field_maps"]],
+        "value_mappings": {t: {"source_field": v[0], "default_value": v[1], "value_map": v[2]} for t, v in b["value_mappings"].items()},
+    } for name, b in blocks.items()}}),) for schema, blocks in specs.items()]
+    spark.createDataFrame(texts, "value string").repartition(len(texts)).write.text(path)
 
 
 def _source(m: Column, name: str) -> Column:
@@ -102,7 +117,17 @@ def spec_sources(block: dict) -> list[str]:
 def apply_spec(df: DataFrame, block: dict, payload: str = "raw_payload") -> DataFrame:
     """Add ``event``, one struct generated from the spec block."""
     df = V.parse_event(df, payload, spec_sources(block))
-    m = F.col("m")
+    return df.withColumn("event", F.when(F.col("m").isNotNull(), _spec_event(F.col("m"), block))).drop("m")
+
+
+def apply_specs(df: DataFrame, blocks: dict[str, dict], schema: Column | None = None, payload: str = "raw_payload") -> DataFrame:
+    """Add one struct for each named spec block, all from one parse of the payload; with ``schema`` only the struct it names for a row is filled."""
+    df = V.parse_event(df, payload, list(dict.fromkeys(k for b in blocks.values() for k in spec_sources(b))))
+    wanted = {name: F.col("m").isNotNull() & (F.lit(True) if schema is None else schema == name) for name in blocks}
+    return df.withColumns({name: F.when(wanted[name], _spec_event(F.col("m"), b)) for name, b in blocks.items()}).drop("m")
+
+
+def _spec_event(m: Column, block: dict) -> Column:
     columns = {
         "class_uid": F.lit(block["target_class_uid"]),
         "category_uid": F.lit(block["target_category_uid"]),
@@ -111,7 +136,7 @@ def apply_spec(df: DataFrame, block: dict, payload: str = "raw_payload") -> Data
         columns[target] = _mapped(m, source, data_type, transformation)
     for target, (source, default, words) in block["value_mappings"].items():
         columns[target] = F.coalesce(V.literal_map(words)[V.text(_source(m, source))], F.lit(default))
-    return df.withColumn("event", F.when(m.isNotNull(), F.struct(*_nest(columns)))).drop("m")
+    return F.struct(*_nest(columns))
 
 
 def template_sources(template: dict) -> list[str]:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siemloom import fixed_values as X
-from siemloom.functions import crypto
+from siemloom.functions import canonical, crypto
 from siemloom.functions import values as V
 from siemloom.operators import lookup, validate
 
 
 def key_is_bad(key: Column) -> Column:
-    return (V.strip(key) == "") | (F.length(key) > X.MAX_KEY_LENGTH)
+    """Empty, too long, or not there at all."""
+    return F.coalesce((V.strip(key) == "") | (F.length(key) > X.MAX_KEY_LENGTH), F.lit(True))
 
 
 def run_id(key: Column) -> Column:
@@ -83,11 +84,6 @@ def find_runs(wanted: DataFrame, runs: DataFrame, key: str = "re_run_id") -> Dat
         "outcome", F.when(F.col("request_hash").isNull(), F.lit(X.CODE_RUN_NOT_FOUND)).otherwise(F.lit("found")))
 
 
-def _as_number(text: Column) -> Column:
-    """Number of a JSON text, booleans as 1 and 0; NULL for strings and collections."""
-    return F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0)).otherwise(text.try_cast("double"))
-
-
 def changes(df: DataFrame, before: str = "original_event", after: str = "updated_event") -> DataFrame:
     """Add ``changes``: changed top-level fields with before and after as JSON, sorted by field.
 
@@ -103,9 +99,9 @@ def changes(df: DataFrame, before: str = "original_event", after: str = "updated
             F.to_json(V.set_or_null(F.col("_after")[k])).alias("after"))
 
     def differs(c: Column) -> Column:
-        # Key order is already equal in the texts; 1, 1.0 and true count as one.
-        same_number = F.coalesce(_as_number(c["before"]) == _as_number(c["after"]), F.lit(False))
-        return ~(c["before"].eqNullSafe(c["after"]) | same_number)
+        # Only texts that differ are looked at closer.
+        return F.when(c["before"].eqNullSafe(c["after"]), F.lit(False)).otherwise(
+            ~canonical.comparable(c["before"]).eqNullSafe(canonical.comparable(c["after"])))
 
     found = F.filter(F.transform(fields, pair), differs)
     # The fence keeps a later explode from computing the array once more for its own filter.

@@ -10,6 +10,7 @@ from siemloom.functions import crypto
 from siemloom.functions import values as V
 from siemloom.functions.texts import Texts, read_texts, with_document
 from siemloom.operators import lookup, normalize, validate
+from siemloom.sources import snapshots
 
 REASONS = {
     X.OUTCOME_INVALID_JSON: "invalid_json",
@@ -32,6 +33,13 @@ def register(requests: DataFrame, existing: DataFrame, key: str = "id", order: s
     ).drop("_taken", f"first_{order}")
 
 
+def register_batch(requests: DataFrame, table: str, batch_id: int, key: str = "id", order: str = "seq") -> DataFrame:
+    """Registrations that arrive over time: adds ``outcome`` and keeps the winners in a connector table."""
+    rest = [c for c in requests.columns if c not in (key, order)]
+    out = snapshots.claim(requests, table, [key], order, batch_id, rest)
+    return out.withColumn("outcome", F.when(F.col("claimed"), F.lit("registered")).otherwise(F.lit(X.CODE_CONNECTOR_EXISTS))).drop("claimed")
+
+
 def listed(connectors: DataFrame, with_secret: bool = False) -> DataFrame:
     return connectors if with_secret else connectors.drop("secret")
 
@@ -180,6 +188,11 @@ def merge_health(*parts: DataFrame) -> DataFrame:
         F.max_by("last", F.struct("last.arrived_at_ms", "last.delivery_id")).alias("last"))
 
 
+def upsert_health(ingested: DataFrame, table: str, batch_id: int) -> None:
+    """Add one batch of deliveries to the health table; only buckets of connectors seen in the batch are read and written."""
+    snapshots.merge(health_counters(delivery_status(ingested)), table, ["connector_id"], batch_id, merge_health)
+
+
 def health_report(counters: DataFrame) -> DataFrame:
     """Readable health; the average divides by all deliveries."""
     return counters.select(

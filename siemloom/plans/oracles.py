@@ -342,7 +342,7 @@ HEALTH = """count(*) AS delivered, count(*) FILTER (outcome = 'VALID') AS valid_
 LATENCY = "CAST(coalesce(sum(latency_ms) FILTER (outcome = 'VALID'), 0) AS BIGINT)"
 REASON = "CASE outcome WHEN 'UNAUTHORIZED' THEN auth WHEN 'INVALID_JSON' THEN 'invalid_json' WHEN 'SCHEMA_VALIDATION_FAILED' THEN 'schema_validation_failed' WHEN 'NORMALIZATION_FAILED' THEN 'normalization_failed' WHEN 'OCSF_VALIDATION_FAILED' THEN 'ocsf_validation_failed' END"
 
-BAD_KEY = "(trim(idempotency_key) = '' OR length(idempotency_key) > 255)"
+BAD_KEY = "coalesce(trim(idempotency_key) = '' OR length(idempotency_key) > 255, true)"
 RERR = ("concat_ws(';', " + ", ".join(f"CASE WHEN json_extract_string(updated_event, '$.{f}') IS NULL THEN 'Missing mandatory OCSF field: ''{f}''' END" for f in X.MANDATORY_FIELDS)
         + ", CASE WHEN json_type(updated_event, '$.time') = 'VARCHAR' THEN 'Invalid ''time'' type: Expected numeric timestamp, got str' END)")
 RESOLVED = _with(("r", REQ)) [:-1] + f""", f AS (SELECT *, {RERR} AS errs, concat(event_id, '|', original_event, '|', updated_event) AS h FROM r),
@@ -351,11 +351,14 @@ w AS (SELECT idempotency_key AS k, min(arrival_seq) AS first_seq, arg_min(h, arr
 x AS (SELECT f.*, w.*, CASE WHEN {BAD_KEY} THEN 'INVALID_IDEMPOTENCY_KEY' WHEN arrival_seq = first_seq THEN 'completed'
   WHEN h = first_h THEN 'already_processed' ELSE 'IDEMPOTENCY_KEY_CONFLICT' END AS outcome FROM f LEFT JOIN w ON w.k = f.idempotency_key) """
 ANSWERED = "outcome IN ('completed', 'already_processed')"
-FIELDS = ["category_uid", "class_uid", "message", "severity_id", "status_id", "time", "user"]
+FIELDS = ["big", "category_uid", "class_uid", "message", "nest", "severity_id", "status_id", "time", "user"]
 
 
 def _change(f: str) -> tuple[str, str, str]:
-    # The user objects differ only in key order.
+    # The user objects differ only in key order, the nested ones in one number and in forms of the others.
+    if f == "nest":
+        third = [f"CAST(json_extract({e}, '$.nest.a[2]') AS DOUBLE)" for e in ("original_event", "updated_event")]
+        return """'{"a":[1,true,0.5],"b":{"c":2}}'""", f"""concat('{{"a":[1,1,', {third[1]}, '],"b":{{"c":2}}}}')""", f"({third[0]} <> {third[1]})"
     b, a = (f"nullif(CAST(json_extract({e}, '$.{f}') AS VARCHAR), 'null')" for e in ("original_event", "updated_event"))
     return b, a, "false" if f == "user" else f"({b} IS DISTINCT FROM {a})"
 

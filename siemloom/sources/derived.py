@@ -75,14 +75,17 @@ SELECT raw_log_id AS delivery_id,
 FROM raw_logs
 """
 
-# Keys repeat with another body (conflicts); every third request arrives twice (replays).
+# Keys repeat with another body (conflicts), are blank or missing; every third request arrives twice (replays). Integers beyond
+# doubles and equal numbers in other forms, nested too, are for the delta.
 REQUESTS = """
 SELECT arrival_seq + extra AS arrival_seq, event_id, idempotency_key, original_event, updated_event FROM (
   SELECT event_id AS arrival_seq, concat('evt-', event_id) AS event_id,
-    CASE WHEN event_id % 29 = 0 THEN '  ' ELSE concat('key-', event_id % 4000) END AS idempotency_key,
-    concat('{"class_uid":3002,"category_uid":3,"time":', {ms}, ',"severity_id":', event_id % 5, ',"status_id":1,"user":{"name":"u', user_id, '","uid":null}}') AS original_event,
+    CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 29 = 0 THEN '  ' ELSE concat('key-', event_id % 4000) END AS idempotency_key,
+    concat('{"class_uid":3002,"category_uid":3,"time":', {ms}, ',"severity_id":', event_id % 5, ',"status_id":1,"big":9007199254740993,"nest":{"a":[1,true,0.50],"b":{"c":2}},"user":{"name":"u', user_id, '","uid":null}}') AS original_event,
     concat('{"category_uid":3,"severity_id":', event_id % 3, ',"user":{"uid":null,"name":"u', user_id, '"}',
       CASE WHEN event_id % 7 = 0 THEN '' ELSE ',"class_uid":3002' END,
+      CASE WHEN event_id % 6 = 0 THEN ',"big":9007199254740992' ELSE ',"big":9007199254740993' END,
+      ',"nest":{"b":{"c":2.0},"a":[1.0,1,', CASE WHEN event_id % 10 = 3 THEN '0.25' ELSE '5e-1' END, ']}',
       CASE WHEN event_id % 5 = 0 THEN ',"time":"late"' ELSE concat(',"time":', {ms}) END,
       CASE WHEN event_id % 4 = 0 THEN ',"message":"edited"' ELSE ',"message":null' END,
       ',"status_id":', 1 + event_id % 2, '}') AS updated_event

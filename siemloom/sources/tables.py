@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siemloom import fixed_values as X
 from siemloom.operators import lookup
 from siemloom.operators.normalize import event_json
+from siemloom.sources import files
 
 
 def read_batch(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
@@ -64,8 +67,66 @@ def vendor_seed(spark: SparkSession) -> DataFrame:
         "is_active", F.lit(True))
 
 
-def write(df: DataFrame, path: str, *partitions: str, mode: str = "append") -> None:
-    df.write.mode(mode).partitionBy(*partitions).parquet(path)
+def write(df: DataFrame, path: str, *partitions: str, cluster: str | None = None) -> None:
+    """Write into partitions; those that the rows fall into are replaced, the others stay, so a batch written again is there once.
+
+    Rows go to the tasks by partition, and a large partition to several of them, each sorted by ``cluster``, so that the statistics
+    of row groups prune within a partition.
+    """
+    df = df.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *([cluster] if cluster else []))
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int, mode: str = "error") -> None:
+    """A catalog table with rows in buckets of a key, so that joins by it move none of them. Give buckets as many as the session has shuffle partitions."""
+    df.repartition(buckets, key).write.mode(mode).option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def events_with_logs(events: DataFrame, raw_logs: DataFrame) -> DataFrame:
+    """Events beside the raw log they were made from."""
+    return events.join(raw_logs.hint("merge"), "raw_log_id")
+
+
+def orphans(events: DataFrame, raw_logs: DataFrame) -> DataFrame:
+    """Events whose raw log isn't stored: what a foreign key would have refused."""
+    return events.join(raw_logs.hint("merge").select("raw_log_id"), "raw_log_id", "left_anti")
+
+
+# --------------------------------------------------------------- dead-letter log
+def append_dead_letters(dead: DataFrame, path: str, batch_id: int, at_ms: str = "dlq_timestamp") -> None:
+    """Add a batch to the log; a batch appended again replaces itself."""
+    rows = dead.withColumns({"dlq_day": day_of(F.col(at_ms)), "batch_id": F.lit(batch_id).cast("bigint")})
+    write(rows, path, "dlq_day", "batch_id", cluster=at_ms)
+
+
+def read_dead_letters(spark: SparkSession, path: str, *within: str) -> DataFrame:
+    """The log in the order of insertion, with ``position`` from 0: by batch, then by ``within``.
+
+    Rows are sorted in ranges, not in one task; only the number of rows of each range comes to the driver.
+    """
+    log = spark.read.parquet(path)
+    ranges = buckets(spark)
+    rows = log.repartitionByRange(ranges, "batch_id", *within).sortWithinPartitions("batch_id", *within)
+    rows = rows.withColumn("_range", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = dict(rows.groupBy("_range").count().collect())
+    before, offsets = 0, []
+    for r in range(ranges):
+        offsets.append(before)
+        before += sizes.get(r, 0)
+    start = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_range"))
+    return rows.withColumn("position", start + F.col("_row")).drop("_range", "_row")
+
+
+def purge_dead_letters(spark: SparkSession, path: str, before_ms: int) -> None:
+    """Retention by whole days: folders of days that end before the time are removed, no other file is touched."""
+    for name in files.names(spark, path):
+        day = name.removeprefix("dlq_day=")
+        if day != name and (datetime.date.fromisoformat(day) - datetime.date(1970, 1, 1)).days * 86_400_000 + 86_400_000 <= before_ms:
+            files.remove(spark, f"{path}/{name}")
 
 
 def dead_letters(failed: DataFrame, reason: Column, errors: Column, payload: Column,
