@@ -42,3 +42,76 @@ def comparable(text: Column) -> Column:
     Whole floating numbers of 2^124 and more equal only floating numbers.
     """
     return F.array_join(F.transform(tokens(text), _comparable), "")
+
+
+# ------------------------------------------------------------------- to be hashed
+# Floating numbers and long integers go through the parser as strings behind this mark, a character of private use.
+_FLOAT, _LONG = "\ue0f0", "\ue0f1"
+
+
+def _kept(t: Column) -> Column:
+    return (
+        F.when(t.rlike(r"^-?[0-9]+$") & (F.length(t) > 18), F.concat(F.lit(f'"{_LONG}'), t, F.lit('"')))
+        .when(t.rlike(r"^-?[0-9].*[.eE]"), F.concat(F.lit(f'"{_FLOAT}'), t, F.lit('"')))
+        .otherwise(t)
+    )
+
+
+def float_form(text: Column) -> Column:
+    """The shortest form of a double: fixed from 1e-4 to below 1e16, else with an exponent of two digits at least."""
+    s = text.try_cast("double").cast("string")
+    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    s = F.ltrim(s, F.lit("-"))
+    mantissa, power = F.split_part(s, F.lit("E"), F.lit(1)), F.coalesce(F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
+    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+    all_digits = F.concat(whole, part)
+    digits = F.ltrim(all_digits, F.lit("0"))
+    point = F.length(whole) + power - (F.length(all_digits) - F.length(digits))  # digits before the point
+    digits = F.rtrim(digits, F.lit("0"))
+    n = F.length(digits)
+    rest = F.when(n > 1, F.concat(F.lit("."), digits.substr(F.lit(2), n))).otherwise(F.lit(""))
+    exponent = point - 1
+    scientific = F.concat(
+        digits.substr(1, 1), rest, F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    fixed = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
+        .otherwise(F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, n)))
+    )
+    out = F.when(digits == "", F.lit("0.0")).when((exponent < -4) | (exponent >= 16), scientific).otherwise(fixed)
+    return F.concat(sign, F.when(s == "Infinity", s).otherwise(out))
+
+
+def _escaped(t: Column) -> Column:
+    """A string token in ASCII: other characters as escapes of their UTF-16 units, hexadecimal digits in lower case."""
+
+    def escape(c: Column) -> Column:
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        pair = F.concat(F.lit("\\u"), units.substr(1, 4), F.lit("\\u"), units.substr(5, 4))
+        return F.when((F.octet_length(c) == 1) & (c != "\x7f"), c).when(F.length(units) == 4, F.concat(F.lit("\\u"), units)).otherwise(pair)
+
+    plain = F.when(t.rlike(r"[^\x00-\x7e]"), F.array_join(F.transform(F.split(t, ""), escape), "")).otherwise(t)
+    # The writer's own escapes of control characters have capitals.
+    return F.when(plain.contains("\\u00"), F.array_join(F.transform(
+        F.split(plain, r"(?=\\u00[0-9A-F]{2})"),
+        lambda p: F.when(p.startswith("\\u00"), F.concat(F.lower(p.substr(1, 6)), p.substr(F.lit(7), F.length(p)))).otherwise(p)), "")).otherwise(plain)
+
+
+def _form(t: Column) -> Column:
+    own = F.btrim(t, F.lit('"'))
+    return (
+        F.when(~t.startswith('"'), t)
+        .when(t.startswith(f'"{_LONG}'), own.substr(F.lit(2), F.length(own)))
+        .when(t.startswith(f'"{_FLOAT}'), float_form(own.substr(F.lit(2), F.length(own))))
+        .otherwise(_escaped(t))
+    )
+
+
+def rewritten(text: Column) -> Column:
+    """First step of :func:`hashable`, in a projection of its own: the text as a VARIANT in which no number loses its form."""
+    return F.try_parse_json(F.array_join(F.transform(tokens(text), _kept), ""))
+
+
+def hashable(rewritten_value: Column) -> Column:
+    """JSON in ASCII with sorted keys, without spaces, numbers as in the source (floating ones in their shortest form)."""
+    return F.array_join(F.transform(tokens(F.to_json(rewritten_value)), _form), "")

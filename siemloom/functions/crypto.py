@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siemloom.functions import canonical
+
 BLOCK = 64  # bytes per SHA-256 block
 
 
@@ -39,14 +41,14 @@ def sign(secret: Column, body: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """JSON text with sorted keys and no spaces; NULL when invalid."""
-    return F.to_json(F.try_parse_json(text))
+    """JSON text in ASCII with sorted keys and no spaces; NULL when invalid."""
+    return F.when(F.try_parse_json(text).isNotNull(), canonical.hashable(canonical.rewritten(text)))
 
 
 def request_hash(event_id: Column, original: Column, updated: Column) -> Column:
     """SHA-256 over the canonical request ``{event, event_id, original_event}``."""
     body = F.concat(
         F.lit('{"event":'), F.coalesce(canonical_json(updated), F.lit("null")),
-        F.lit(',"event_id":'), F.to_json(event_id.cast("variant")),
+        F.lit(',"event_id":'), canonical.hashable(event_id.cast("variant")),
         F.lit(',"original_event":'), F.coalesce(canonical_json(original), F.lit("null")), F.lit("}"))
     return F.sha2(body, 256)

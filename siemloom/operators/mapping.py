@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siemloom import fixed_values as X
 from siemloom.functions import times
 from siemloom.functions import values as V
+from siemloom.sources import files
 
 TYPES = {"long": "bigint", "integer": "int", "string": "string"}
 
@@ -66,13 +67,14 @@ def blocks_of(fields: DataFrame, values: DataFrame) -> dict[tuple[str, str], dic
 
 
 def write_specs(spark: SparkSession, specs: dict, path: str) -> None:
-    """Specs as JSON texts, one a row, as :func:`read_spec` takes them."""
-    texts = [(json.dumps({"source_schema": schema, "mappings": {name: {
-        "target_class_uid": b["target_class_uid"], "target_category_uid": b["target_category_uid"],
-        "field_maps": [dict(zip(("source_field", "target_field", "data_type", "transformation"), f, strict=True)) for f in b["field_maps"]],
-        "value_mappings": {t: {"source_field": v[0], "default_value": v[1], "value_map": v[2]} for t, v in b["value_mappings"].items()},
-    } for name, b in blocks.items()}}),) for schema, blocks in specs.items()]
-    spark.createDataFrame(texts, "value string").repartition(len(texts)).write.text(path)
+    """Specs as JSON, one a file, as :func:`read_spec` takes them."""
+    for schema, blocks in specs.items():
+        mappings = {name: {
+            "target_class_uid": b["target_class_uid"], "target_category_uid": b["target_category_uid"],
+            "field_maps": [dict(zip(("source_field", "target_field", "data_type", "transformation"), f, strict=True)) for f in b["field_maps"]],
+            "value_mappings": {t: {"source_field": v[0], "default_value": v[1], "value_map": v[2]} for t, v in b["value_mappings"].items()},
+        } for name, b in blocks.items()}
+        files.publish(spark, f"{path}/{schema}.json", json.dumps({"source_schema": schema, "mappings": mappings}, indent=1))
 
 
 def _source(m: Column, name: str) -> Column:

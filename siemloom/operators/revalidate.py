@@ -9,6 +9,7 @@ from siemloom import fixed_values as X
 from siemloom.functions import canonical, crypto
 from siemloom.functions import values as V
 from siemloom.operators import lookup, validate
+from siemloom.sources import tables
 
 
 def key_is_bad(key: Column) -> Column:
@@ -46,7 +47,7 @@ def resolve(requests: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     claims = lookup.first_claims(good, "idempotency_key", "arrival_seq", RUN_COLUMNS)
     if runs is not None:
         stored = runs.select("idempotency_key", *[F.col(c).alias(f"_old_{c}") for c in RUN_COLUMNS])
-        claims = claims.join(stored, "idempotency_key", "left")
+        claims = claims.join(stored.hint("merge"), "idempotency_key", "left")
         known = F.col("_old_request_hash").isNotNull()
         claims = claims.withColumns({
             "first_arrival_seq": F.when(~known, F.col("first_arrival_seq")),
@@ -77,6 +78,12 @@ def new_runs(resolved: DataFrame) -> DataFrame:
         "valid", "errors")
 
 
+def store_runs(resolved: DataFrame, table: str, path: str, buckets: int, mode: str = "error") -> None:
+    """Keep new runs in a table bucketed by key. A later batch's keys are moved to its buckets; the stored side stays where it is, and
+    Spark filters its scan by a Bloom filter of the batch's keys where that side is large."""
+    tables.save_bucketed(new_runs(resolved), table, path, "idempotency_key", buckets, mode)
+
+
 def find_runs(wanted: DataFrame, runs: DataFrame, key: str = "re_run_id") -> DataFrame:
     """Look runs up by id or by key; ``outcome`` says when there is none."""
     found = lookup.spread_join(wanted, runs, key, F.monotonically_increasing_id())

@@ -423,7 +423,7 @@ def all_oracles() -> dict[str, str]:
     valid_class = "(organization <> '' AND class_name <> '' AND version <> '' AND CASE WHEN json_valid(schema) THEN json_type(schema) = 'OBJECT' ELSE false END)"
     typed = [f"CASE WHEN {whole(t(k))} IS NULL THEN '{k}' END" for k in ("activity_id", "category_uid", "class_uid", "severity_id", "status_id")]
     typed += [f"CASE WHEN coalesce({ty(*k)}, '') <> 'VARCHAR' THEN '{'.'.join(k)}' END" for k in (("user", "name"), ("device", "ip"), ("actor", "user", "name"))]
-    return {
+    out = {
         "a2_batches": EV + "SELECT batch_id, count(*) <= 2000 AS accepted, count(*) AS n FROM (SELECT CAST(floor(sqrt(raw_log_id)) AS BIGINT) % 7 AS batch_id FROM ev) GROUP BY 1",
         "a3_raw_logs": DET + "SELECT coalesce(vendor, 'unknown') AS vendor_source, strftime(make_timestamp(received_at_ms * 1000), '%Y-%m-%d') AS day, count(*) AS n FROM d GROUP BY 1, 2",
         "a4_normalized_events": DET + f"SELECT raw_log_id, 3002 AS class_uid, 3 AS category_uid, 1 AS activity_id, {dispatched('severity_id')} AS severity_id, {dispatched('time')} AS event_time_ms, {dispatched('src_ip')} AS src_ip, strftime(make_timestamp(({dispatched('time')}) * 1000), '%Y-%m-%d') AS day FROM d WHERE {GOOD}",
@@ -512,3 +512,38 @@ def all_oracles() -> dict[str, str]:
         "u1_callable_extractor": on_all(ASSETS, built="true", ip=t("ip"), hostname=f"concat('host-', {t('ip')})"),
         "u2_vendor_plugin": DET + f"SELECT raw_log_id, CASE vendor WHEN 'unknown' THEN 'acme' ELSE vendor END AS vendor, CASE vendor WHEN 'unknown' THEN received_at_ms ELSE {dispatched('time')} END AS time, CASE vendor WHEN 'unknown' THEN {t('some_random_key')} ELSE {dispatched('user_name')} END AS user_name, CASE vendor WHEN 'unknown' THEN 'Acme Box' ELSE {dispatched('product')} END AS product, CASE vendor WHEN 'unknown' THEN 'actor.user.name<some_random_key' ELSE {dispatched('provenance')} END AS provenance FROM d",
     }
+    specs = {"splunk": "t4_spec_splunk", "asim": "t4_spec_asim_network", "ecs": "t4_spec_ecs"}
+    shown = ", ".join(f"{n}.{c} AS {n}_{c}" for n in specs for c in T4_NAMES[n])
+    dead = out["a7_dead_letters"]
+    return out | {
+        "a3_partition_read": DET + "SELECT raw_log_id, raw_payload, received_at_ms FROM d WHERE vendor = 'ecs' AND strftime(make_timestamp(received_at_ms * 1000), '%Y-%m-%d') = '2024-01-05'",
+        "a4_events_with_logs": DET + f"SELECT raw_log_id, vendor AS vendor_source, {dispatched('severity_id')} AS severity_id, {dispatched('time')} AS event_time_ms, received_at_ms FROM d WHERE {GOOD} AND raw_log_id % 50 <> 0",
+        "a4_orphans": DET + f"SELECT raw_log_id, {dispatched('time')} AS event_time_ms FROM d WHERE {GOOD} AND raw_log_id % 50 = 0",
+        "a8_dead_letter_read": f"SELECT row_number() OVER (ORDER BY raw_log_id % 2, dlq_timestamp, raw_log_id) - 1 AS position, raw_log_id, failure_reason, errors, dlq_timestamp FROM ({dead})",
+        "a9_purge_log": out["a9_purge"],
+        "f33_request_hash": _request_hash(),
+        "t4_specs_in_one_pass": f"SELECT splunk.raw_log_id, {shown} FROM ({out[specs['splunk']]}) splunk JOIN ({out[specs['asim']]}) asim USING (raw_log_id) JOIN ({out[specs['ecs']]}) ecs USING (raw_log_id)",
+        "w1_register_over_time": conn_ctes + "SELECT seq, CASE WHEN id NOT IN (SELECT id FROM old) AND seq = first_value(seq) OVER (PARTITION BY id ORDER BY seq % 2 = 0, seq) THEN 'registered' ELSE 'CONNECTOR_EXISTS' END AS outcome FROM req",
+        "r1_register_over_time": class_ctes + f"SELECT seq, CASE WHEN NOT {valid_class} THEN 'INVALID_REGISTRATION' WHEN seq = first_value(seq) OVER (PARTITION BY organization, class_uid, {valid_class} ORDER BY seq % 2 = 0, seq) THEN 'registered' ELSE 'CUSTOM_CLASS_EXISTS' END AS outcome FROM req",
+        "w8_health_upsert": out["w8_health"], "w11_streaming_health": out["w9_health_report"], "x2_resolve_stored": out["x2_resolve"],
+    }
+
+
+T4_NAMES = {"splunk": ["class_uid", "time", "user_name", "status_id"], "asim": ["class_uid", "time", "src_ip", "src_port", "dst_ip", "status", "status_id"],
+            "ecs": ["class_uid", "time", "user_name", "src_ip", "status_id"]}
+
+
+def _request_hash() -> str:
+    """The canonical request spelled out: keys in order, no spaces, floating numbers in their shortest form."""
+    def number(e: str, k: str) -> str:
+        return f"json_extract_string({e}, '$.{k}')"
+
+    u, o = "updated_event", "original_event"
+    name = "json_extract_string({}, '$.user.name')"
+    updated = (f"""concat('{{"big":', {number(u, 'big')}, ',"category_uid":3', CASE WHEN json_exists({u}, '$.class_uid') THEN ',"class_uid":3002' ELSE '' END,
+      ',"message":', CAST(json_extract({u}, '$.message') AS VARCHAR), ',"nest":{{"a":[1.0,1,', CAST(CAST(json_extract({u}, '$.nest.a[2]') AS DOUBLE) AS VARCHAR), '],"b":{{"c":2.0}}}},"severity_id":',
+      {number(u, 'severity_id')}, ',"status_id":', {number(u, 'status_id')}, ',"time":', CAST(json_extract({u}, '$.time') AS VARCHAR),
+      ',"user":{{"name":"', {name.format(u)}, '","uid":null}}}}')""")
+    original = (f"""concat('{{"big":', {number(o, 'big')}, ',"category_uid":3,"class_uid":3002,"nest":{{"a":[1,true,0.5],"b":{{"c":2}}}},"severity_id":', {number(o, 'severity_id')},
+      ',"status_id":1,"time":', {number(o, 'time')}, ',"user":{{"name":"', {name.format(o)}, '","uid":null}}}}')""")
+    return _with(("r", REQ)) + f"""SELECT arrival_seq, sha256(concat('{{"event":', {updated}, ',"event_id":"', event_id, '","original_event":', {original}, '}}')) AS h FROM r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,8 @@ from siemloom.operators import (
 )
 from siemloom.operators.vendors import VENDORS, Field, Vendor
 from siemloom.sources import derived as D
-from siemloom.sources import tables
+from siemloom.sources import files, snapshots, tables
+from siemloom.streaming import webhook_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -301,9 +303,15 @@ def _spec(schema: str, name: str, columns: dict[str, str]) -> Query:
     return run
 
 
-T4S = _spec("Splunk_CIM", "Authentication", {"class_uid": "class_uid", "time": "time", "user_name": "user.name", "status_id": "status_id"})
-T4A = _spec("ASIM", "NetworkSession", {"class_uid": "class_uid", "time": "time", "src_ip": "src_endpoint.ip", "src_port": "src_endpoint.port", "dst_ip": "dst_endpoint.ip", "status": "status", "status_id": "status_id"})
-T4E = _spec("ECS", "Authentication", {"class_uid": "class_uid", "time": "time", "user_name": "user.name", "src_ip": "src_endpoint.ip", "status_id": "status_id"})
+T4_COLUMNS = {
+    "splunk": {"class_uid": "class_uid", "time": "time", "user_name": "user.name", "status_id": "status_id"},
+    "asim": {"class_uid": "class_uid", "time": "time", "src_ip": "src_endpoint.ip", "src_port": "src_endpoint.port", "dst_ip": "dst_endpoint.ip",
+             "status": "status", "status_id": "status_id"},
+    "ecs": {"class_uid": "class_uid", "time": "time", "user_name": "user.name", "src_ip": "src_endpoint.ip", "status_id": "status_id"},
+}
+T4S = _spec("Splunk_CIM", "Authentication", T4_COLUMNS["splunk"])
+T4A = _spec("ASIM", "NetworkSession", T4_COLUMNS["asim"])
+T4E = _spec("ECS", "Authentication", T4_COLUMNS["ecs"])
 
 
 def t5_template(s, d):
@@ -348,10 +356,8 @@ V6 = _on_all(["event_time", "TimeGenerated", "action"], lambda m: {
 
 
 def v7_split(s, d):
-    df = _checked(s, d)
-    valid = df.filter(F.col("success") & (F.size("errors") == 0)).select("raw_log_id", F.lit("valid").alias("side"))
-    rest = df.filter(~F.col("success") | (F.size("errors") > 0)).select("raw_log_id", F.lit("dead").alias("side"))
-    return valid.unionByName(rest)
+    side = F.when(F.col("success") & (F.size("errors") == 0), F.lit("valid")).otherwise(F.lit("dead"))
+    return _checked(s, d).select("raw_log_id", side.alias("side"))
 
 
 # ---------------------------------------------------------------------- W rows
@@ -487,6 +493,131 @@ def u2_plugin(s, d):
     return _flat(df, ["time", "user_name", "product", "provenance"], "vendor")
 
 
+# ------------------------------------------------- tables that outlive a batch
+def _stored(s: SparkSession, name: str) -> tuple[str, str]:
+    """Name and folder of a new bucketed table."""
+    return f"{name}_{uuid.uuid4().hex}", files.new_folder(s, name)
+
+
+def a3_partition_read(s, d):
+    """Raw logs written into partitions, some of them twice; one vendor's day is read back."""
+    folder = files.new_folder(s, "raw-logs")
+    logs = tables.raw_log_table(detect.detect_vendor(D.raw_logs(s, d)))
+    tables.write(logs, folder, "vendor_source", "received_date", cluster="received_at_ms")
+    tables.write(logs.where("vendor_source = 'ecs'"), folder, "vendor_source", "received_date", cluster="received_at_ms")
+    t = s.read.parquet(folder).where("vendor_source = 'ecs' AND received_date = DATE'2024-01-05'")
+    return t.select("raw_log_id", "raw_payload", "received_at_ms")
+
+
+def _lineage(s, d):
+    """Events and raw logs, both bucketed by the log's id; every fiftieth log is gone."""
+    out = []
+    logs = tables.raw_log_table(detect.detect_vendor(D.raw_logs(s, d))).where("raw_log_id % 50 <> 0")
+    for name, df in (("events", tables.event_table(_normalized(s, d))), ("raw_logs", logs)):
+        table, folder = _stored(s, name)
+        tables.save_bucketed(df, table, folder, "raw_log_id", tables.buckets(s))
+        out.append(s.table(table))
+    return out
+
+
+def a4_events_with_logs(s, d):
+    return tables.events_with_logs(*_lineage(s, d)).select("raw_log_id", "vendor_source", "severity_id", "event_time_ms", "received_at_ms")
+
+
+def a4_orphans(s, d):
+    return tables.orphans(*_lineage(s, d)).select("raw_log_id", "event_time_ms")
+
+
+def _dead_log(s, d):
+    """Dead letters appended in two batches, the first one twice."""
+    folder = files.new_folder(s, "dead-letters")
+    dead = a7_dead_letters(s, d)
+    for batch_id in (0, 1, 0):
+        tables.append_dead_letters(dead.where(F.col("raw_log_id") % 2 == batch_id), folder, batch_id)
+    return folder
+
+
+def a8_dead_letter_read(s, d):
+    log = tables.read_dead_letters(s, _dead_log(s, d), "raw_log_id")
+    return log.select("position", "raw_log_id", "failure_reason", "errors", "dlq_timestamp")
+
+
+def a9_purge_log(s, d):
+    folder = _dead_log(s, d)
+    tables.purge_dead_letters(s, folder, 1704672000000)
+    return s.read.parquet(folder).select("raw_log_id", "failure_reason", "errors", "payload", "dlq_timestamp")
+
+
+def t4_specs_in_one_pass(s, d):
+    """Specs written as JSON, read as tables, compiled into one projection."""
+    folder = files.new_folder(s, "specs")
+    mapping.write_specs(s, X.MAPPING_SPECS, folder)
+    blocks = mapping.blocks_of(*mapping.read_spec(s, folder))
+    wanted = {"splunk": ("Splunk_CIM", "Authentication", T4_COLUMNS["splunk"]), "asim": ("ASIM", "NetworkSession", T4_COLUMNS["asim"]),
+              "ecs": ("ECS", "Authentication", T4_COLUMNS["ecs"])}
+    df = mapping.apply_specs(D.raw_logs(s, d), {n: blocks[k[:2]] for n, k in wanted.items()})
+    return df.select("raw_log_id", *[F.col(f"{n}.{p}").alias(f"{n}_{c}") for n, (*_, columns) in wanted.items() for c, p in columns.items()])
+
+
+def w1_register_over_time(s, d):
+    """Requests in two batches, the first one twice, over the connectors there before."""
+    requests = D.from_table(s, d, D.CONNECTOR_REQUESTS, "orders")
+    before = D.from_table(s, d, D.CONNECTORS_BEFORE, "customer").withColumn("seq", F.lit(0).cast("bigint"))
+    table = files.new_folder(s, "connectors")
+    webhook.register_batch(before, table, 0)
+    return _two_batches(requests, lambda part, k: webhook.register_batch(part, table, k))
+
+
+def r1_register_over_time(s, d):
+    requests = D.from_table(s, d, D.CLASS_REQUESTS, "orders")
+    table = files.new_folder(s, "classes")
+    return _two_batches(requests, lambda part, k: registry.register_batch(part, table, k))
+
+
+def _two_batches(requests, register):
+    outs = [register(requests.where(F.col("seq") % 2 == k % 2), k).select("seq", "outcome") for k in (1, 2, 1)]  # odd ones come first; the last is a replay
+    return outs[2].unionByName(outs[1])
+
+
+def w8_health_upsert(s, d):
+    """Deliveries in two batches, each merged into the stored counters; the first comes again."""
+    table, ingested = files.new_folder(s, "health"), _ingested(s, d)
+    for k in (0, 1, 0):
+        webhook.upsert_health(ingested.where(F.col("delivery_id") % 2 == k), table, k)
+    return snapshots.read(s, table).select("connector_id", *webhook.COUNTERS)
+
+
+def w11_streaming_health(s, d):
+    """Statuses as a stream of three files in which deliveries repeat and come late, stopped and restarted from its checkpoint after the second."""
+    folder = files.new_folder(s, "health-stream")
+    statuses = webhook.delivery_status(_ingested(s, d))
+    statuses.write.parquet(f"{folder}/statuses")
+    statuses = s.read.parquet(f"{folder}/statuses")
+
+    def run(*parts):
+        for k in parts:  # a part and half of the part before
+            again = statuses.where((F.col("delivery_id") % 3 == k - 1) & (F.col("delivery_id") % 2 == 0))
+            statuses.where(F.col("delivery_id") % 3 == k).unionByName(again).repartition(1).write.mode("append").parquet(f"{folder}/in")
+        stream = s.readStream.schema(statuses.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        webhook_stream.start_health(stream, f"{folder}/table", f"{folder}/checkpoint", available_now=True, delay="60 days").awaitTermination()
+
+    run(0, 1)
+    run(2)
+    return webhook.health_report(snapshots.read(s, f"{folder}/table"))
+
+
+def x2_resolve_stored(s, d):
+    """Requests in two batches; the second meets the runs that the first stored."""
+    requests = D.revalidation_requests(s, d)
+    first, second = requests.where("arrival_seq < 10000000"), requests.where("arrival_seq >= 10000000")
+    table, folder = _stored(s, "runs")
+    resolved = revalidate.resolve(first)
+    revalidate.store_runs(resolved, table, folder, tables.buckets(s))
+    again = revalidate.resolve(second, s.table(table))
+    columns = ["arrival_seq", "outcome", "run_event_id", "valid", "idempotent"]
+    return resolved.select(*columns).unionByName(again.select(*columns))
+
+
 def all_queries() -> dict[str, Query]:
     v = _vendor
     return {
@@ -529,4 +660,8 @@ def all_queries() -> dict[str, Query]:
         "x1_key_check": x1_keys, "x2_resolve": x2_resolve, "x3_revalidate": x3_validate, "x4_run_ids": x4_run_ids,
         "x5_new_runs": x5_runs, "x6_find_runs": x6_find, "x7_delta": x7_delta, "x8_delta_report": x8_report,
         "u1_callable_extractor": U1, "u2_vendor_plugin": u2_plugin,
+        "a3_partition_read": a3_partition_read, "a4_events_with_logs": a4_events_with_logs, "a4_orphans": a4_orphans,
+        "a8_dead_letter_read": a8_dead_letter_read, "a9_purge_log": a9_purge_log, "t4_specs_in_one_pass": t4_specs_in_one_pass,
+        "w1_register_over_time": w1_register_over_time, "r1_register_over_time": r1_register_over_time,
+        "w8_health_upsert": w8_health_upsert, "w11_streaming_health": w11_streaming_health, "x2_resolve_stored": x2_resolve_stored,
     }

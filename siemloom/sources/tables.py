@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siemloom import fixed_values as X
@@ -103,22 +103,19 @@ def append_dead_letters(dead: DataFrame, path: str, batch_id: int, at_ms: str =
     write(rows, path, "dlq_day", "batch_id", cluster=at_ms)
 
 
-def read_dead_letters(spark: SparkSession, path: str, *within: str) -> DataFrame:
-    """The log in the order of insertion, with ``position`` from 0: by batch, then by ``within``.
+def read_dead_letters(spark: SparkSession, path: str, *within: str, at_ms: str = "dlq_timestamp") -> DataFrame:
+    """The log in the order of insertion, with ``position`` from 0: by batch, time, then by ``within``.
 
-    Rows are sorted in ranges, not in one task; only the number of rows of each range comes to the driver.
+    Positions are counted within each minute of a batch, beside the rows of the minutes before; only the counts of minutes, not the rows, are summed
+    up in one task. The rows themselves are sorted in ranges.
     """
-    log = spark.read.parquet(path)
-    ranges = buckets(spark)
-    rows = log.repartitionByRange(ranges, "batch_id", *within).sortWithinPartitions("batch_id", *within)
-    rows = rows.withColumn("_range", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = dict(rows.groupBy("_range").count().collect())
-    before, offsets = 0, []
-    for r in range(ranges):
-        offsets.append(before)
-        before += sizes.get(r, 0)
-    start = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_range"))
-    return rows.withColumn("position", start + F.col("_row")).drop("_range", "_row")
+    log = spark.read.parquet(path).withColumn("_slot", F.floor(F.col(at_ms) / 60_000))
+    counts = log.groupBy("batch_id", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("batch_id", "_slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("batch_id", "_slot").orderBy(at_ms, *within)) - 1
+    rows = log.withColumn("_row", own).join(counts, ["batch_id", "_slot"])
+    return rows.withColumn("position", F.col("_before") + F.col("_row")).drop("_slot", "_row", "_before").orderBy("position")
 
 
 def purge_dead_letters(spark: SparkSession, path: str, before_ms: int) -> None:
