@@ -6,6 +6,8 @@ again. So values are reached at every depth without recursion. Both start from t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,41 +47,73 @@ def comparable(text: Column) -> Column:
 
 
 # ------------------------------------------------------------------- to be hashed
-# Floating numbers and long integers go through the parser as strings behind this mark, a character of private use.
-_FLOAT, _LONG = "\ue0f0", "\ue0f1"
+# Floating numbers and long integers go through the parser as strings behind a mark, a character of private use; so do strings that start with one.
+_FLOAT, _LONG, _TEXT = "\ue0f0", "\ue0f1", "\ue0f2"
 
 
 def _kept(t: Column) -> Column:
     return (
         F.when(t.rlike(r"^-?[0-9]+$") & (F.length(t) > 18), F.concat(F.lit(f'"{_LONG}'), t, F.lit('"')))
         .when(t.rlike(r"^-?[0-9].*[.eE]"), F.concat(F.lit(f'"{_FLOAT}'), t, F.lit('"')))
+        .when(t.rlike(rf'(?i)^"([{_FLOAT}-{_TEXT}]|\\ue0f[0-2])'), F.concat(F.lit(f'"{_TEXT}'), t.substr(F.lit(2), F.length(t))))
         .otherwise(t)
     )
 
 
-def float_form(text: Column) -> Column:
-    """The shortest form of a double: fixed from 1e-4 to below 1e16, else with an exponent of two digits at least."""
-    s = text.try_cast("double").cast("string")
-    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    s = F.ltrim(s, F.lit("-"))
-    mantissa, power = F.split_part(s, F.lit("E"), F.lit(1)), F.coalesce(F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
-    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
-    all_digits = F.concat(whole, part)
-    digits = F.ltrim(all_digits, F.lit("0"))
-    point = F.length(whole) + power - (F.length(all_digits) - F.length(digits))  # digits before the point
-    digits = F.rtrim(digits, F.lit("0"))
-    n = F.length(digits)
-    rest = F.when(n > 1, F.concat(F.lit("."), digits.substr(F.lit(2), n))).otherwise(F.lit(""))
-    exponent = point - 1
-    scientific = F.concat(
-        digits.substr(1, 1), rest, F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
-    fixed = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
-        .otherwise(F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, n)))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed, and standing in the plan, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shortest(d: Column) -> Column:
+    """Fewest digits that give a positive double back, as d.ddde+x. The engine's own texts of large doubles are not exact, so their digits are counted out."""
+
+    def written(n: int) -> Column:
+        return F.format_string(f"%.{n - 1}e", d)
+
+    def cut(whole: Column, n: int) -> Column:
+        head = (whole.substr(1, n).cast("bigint") + (whole.substr(n + 1, 1) >= "5").cast("bigint")).cast("string")
+        return _let(head, lambda h: F.concat(h.substr(1, 1), F.lit("."), h.substr(2, n), F.lit("e+"), (F.length(whole) + F.length(h) - n - 1).cast("string")))
+
+    def first_exact(texts: list[Column]) -> Column:
+        return F.get(F.filter(F.array(*texts), lambda t: t.try_cast("double") == d), F.lit(0))
+
+    large = _let(exact_whole(d), lambda whole: first_exact([cut(whole, n) for n in (15, 16, 17)]))
+    return (
+        F.when(d < 1e-300, first_exact([written(n) for n in range(1, 18)]))  # near zero, few digits tell numbers apart
+        .when((d >= 1e17) & (d < float(1 << 124)), large)
+        .otherwise(first_exact([written(n) for n in (15, 16, 17)]))
     )
-    out = F.when(digits == "", F.lit("0.0")).when((exponent < -4) | (exponent >= 16), scientific).otherwise(fixed)
-    return F.concat(sign, F.when(s == "Infinity", s).otherwise(out))
+
+
+def _python_form(s: Column) -> Column:
+    """d.ddde+x as a fixed number from 1e-4 to below 1e16, else with an exponent of two digits at least."""
+    mantissa, power = F.split_part(s, F.lit("e"), F.lit(1)), F.split_part(s, F.lit("e"), F.lit(2)).cast("int")
+
+    def form(parts: Column) -> Column:
+        digits, exponent = parts["digits"], parts["exponent"]
+        n, point = F.length(digits), exponent + 1
+        rest = F.when(n > 1, F.concat(F.lit("."), digits.substr(F.lit(2), n))).otherwise(F.lit(""))
+        size = F.abs(exponent).cast("string")
+        scientific = F.concat(
+            digits.substr(1, 1), rest, F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.length(size) < 2, F.lit("0")).otherwise(F.lit("")), size)
+        fixed = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
+            .otherwise(F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, n)))
+        )
+        return F.when((exponent < -4) | (exponent >= 16), scientific).otherwise(fixed)
+
+    return _let(F.struct(F.rtrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0")).alias("digits"), power.alias("exponent")), form)
+
+
+def float_form(text: Column) -> Column:
+    """The shortest form of a double."""
+
+    def form(d: Column) -> Column:
+        return F.when(d == 0, F.lit("0.0")).when(d == float("inf"), F.lit("Infinity")).otherwise(_let(_shortest(d), _python_form))
+
+    return F.concat(F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")), _let(F.abs(text.try_cast("double")), form))
 
 
 def _escaped(t: Column) -> Column:
@@ -90,11 +124,13 @@ def _escaped(t: Column) -> Column:
         pair = F.concat(F.lit("\\u"), units.substr(1, 4), F.lit("\\u"), units.substr(5, 4))
         return F.when((F.octet_length(c) == 1) & (c != "\x7f"), c).when(F.length(units) == 4, F.concat(F.lit("\\u"), units)).otherwise(pair)
 
-    plain = F.when(t.rlike(r"[^\x00-\x7e]"), F.array_join(F.transform(F.split(t, ""), escape), "")).otherwise(t)
+    def lowered(plain: Column) -> Column:
+        units = F.regexp_extract_all(plain, F.lit(r"(\\u[0-9a-fA-F]{4}|\\.|[^\\])"), F.lit(1))
+        joined = F.array_join(F.transform(units, lambda u: F.when(u.startswith("\\u"), F.lower(u)).otherwise(u)), "")
+        return F.when(plain.contains("\\u00"), joined).otherwise(plain)
+
     # The writer's own escapes of control characters have capitals.
-    return F.when(plain.contains("\\u00"), F.array_join(F.transform(
-        F.split(plain, r"(?=\\u00[0-9A-F]{2})"),
-        lambda p: F.when(p.startswith("\\u00"), F.concat(F.lower(p.substr(1, 6)), p.substr(F.lit(7), F.length(p)))).otherwise(p)), "")).otherwise(plain)
+    return _let(F.when(t.rlike(r"[^\x00-\x7e]"), F.array_join(F.transform(F.split(t, ""), escape), "")).otherwise(t), lowered)
 
 
 def _form(t: Column) -> Column:
@@ -103,7 +139,7 @@ def _form(t: Column) -> Column:
         F.when(~t.startswith('"'), t)
         .when(t.startswith(f'"{_LONG}'), own.substr(F.lit(2), F.length(own)))
         .when(t.startswith(f'"{_FLOAT}'), float_form(own.substr(F.lit(2), F.length(own))))
-        .otherwise(_escaped(t))
+        .otherwise(_escaped(F.when(t.startswith(f'"{_TEXT}'), F.concat(F.lit('"'), t.substr(F.lit(3), F.length(t)))).otherwise(t)))
     )
 
 
