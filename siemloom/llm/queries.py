@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siemloom.llm import block_topk, byte_bpe, decontaminate, jaccard_join, lattice_lm, licences, line_crf, periodic_runs, preferences, repeats, toxicity, whitening
+from siemloom.llm import block_topk, byte_bpe, decontaminate, jaccard_join, lattice_lm, licences, line_crf, periodic_runs, preferences, repeats, suffix_array, toxicity, whitening
 from siemloom.llm.training import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +35,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.suffix_arrays(table(spark, sf_dir, "documents"))
+    out = suffix_array.suffix_arrays(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -1,18 +1,15 @@
-"""Removal of word passages that occur earlier: by prefix-partitioned suffix trees, or by hashes of windows.
+"""Removal of word passages that occur earlier, by prefix-partitioned suffix trees; `suffix_array` shares its frame.
 
 A window is `window` consecutive words of one document. A window is repeated if its word sequence also starts earlier (smaller id, or same document and
-earlier start); every word in a repeated window is removed. Both methods judge windows on the input and find the same ones.
+earlier start); every word in a repeated window is removed. Windows are judged on the input.
 
 1. A document whose whole text stands under a smaller id is repeated as a whole; only the first of such copies goes on.
 2. Minimisers (least gram hash in each window) tell which windows can be repeated at all: the hashes are counted over all documents, in buckets, each
    hash once for a batch of documents. A window whose minimiser is unique can't have a partner.
 3. The other windows' suffixes are compared. Within a batch of documents, of equal windows only the first goes on, so no passage, however common,
-   brings more than one suffix a batch to any group.
-   `suffix_trees`: a suffix is a string of letters of window / 5 words. Groups are prefixes of one letter, and of more letters where, over the whole corpus, a prefix has
-   more than its share of suffixes. A group's suffixes are sorted into the order of its tree's leaves; the longest common prefixes of neighbours give
-   its internal nodes, and those as deep as a window are the repeats.
-   `suffix_arrays`: not yet a suffix array. Each window goes under its least gram, its reach to the left of it and the hash of the whole window; equal keys
-   are repeats. No suffix of words is sorted and no match is extended.
+   brings more than one suffix a batch to any group. A suffix is a string of letters of window / 5 words, cut after one window, which is known by its hash.
+   Groups are prefixes of one letter, and of more letters where, over the whole corpus, a prefix has more than its share of suffixes. A group's suffixes are
+   sorted into the order of its tree's leaves; neighbours whose common prefix is as deep as a window are the repeats. Nodes below that depth are not built.
 4. All but the first of equal windows are removed, in a pass over the documents.
 
 The documents' texts are shuffled by id once; the passes share that exchange. Words are runs of bytes other than ASCII white space, unchanged.
@@ -23,7 +20,7 @@ document and lose the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -129,39 +126,21 @@ def _repeated_hashes(texts: DataFrame, window: int, gram: int, groups: int) -> D
 
 
 class Route:
-    """How a method groups the candidate windows: keys (rows of 32-bit letters, equal for equal windows) and bucket."""
+    """How suffix trees group the candidate windows: keys (rows of 32-bit letters, equal for equal windows) and bucket."""
 
-    def __init__(self, window: int, gram: int, groups: int, heavy: np.ndarray | None) -> None:
-        self.window, self.gram, self.groups, self.heavy = window, gram, groups, heavy
+    def __init__(self, window: int, groups: int, heavy: np.ndarray) -> None:
+        self.window, self.groups, self.heavy = window, groups, heavy
 
-    def __call__(self, words: Words, at: np.ndarray, minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         whole = words.grams(self.window)[at]
-        if self.heavy is None:
-            letters, prefix = self._suffix(words, at, minima)
-            prefix = mix(prefix + whole)  # a common suffix doesn't come to one group
-        else:
-            letters, prefix = self._prefix(words, at)
-        key = np.stack([*((x >> U(32)).astype(np.uint32) for x in letters), (whole >> U(32)).astype(np.uint32), whole.astype(np.uint32)], 1)
-        return key, (prefix % U(self.groups)).astype(np.int64)
-
-    def _prefix(self, words: Words, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         letters, hashes = _prefixes(words, self.window, at)
         prefix, left = hashes[-1].copy(), np.ones(len(at), bool)
         for depth, h in enumerate(hashes[:-1]):  # the shortest prefix that isn't heavy
             fits = left & ~self.heavy[depth][(h >> U(52)).astype(np.int64)]
             prefix[fits] = h[fits]
             left &= ~fits
-        return letters[:-1], prefix
-
-    def _suffix(self, words: Words, at: np.ndarray, minima: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """The suffix at the first place in the window where its least gram stands, and how far the window reaches to the left of it."""
-        g, reach, left = words.grams(self.gram), np.zeros(len(at), np.int64), np.ones(len(at), bool)
-        for step in range(self.window - self.gram + 1):
-            hit = left & (g[np.minimum(at + step, len(g) - 1)] == minima[at])
-            reach[hit] = step
-            left &= ~hit
-        suffix = g[at + reach]
-        return [suffix, suffix << U(32), reach.astype(U) << U(32)], suffix
+        key = np.stack([*((x >> U(32)).astype(np.uint32) for x in letters[:-1]), (whole >> U(32)).astype(np.uint32), whole.astype(np.uint32)], 1)
+        return key, (prefix % U(self.groups)).astype(np.int64)
 
 
 def _compare(key: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,15 +164,8 @@ def digest(md5: Column) -> Column:
     return F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
 
 
-def repeated_windows(docs: DataFrame, window: int, gram: int, trees: bool) -> tuple[DataFrame, DataFrame]:
-    """The documents (all columns), dealt by id, with their tag, and doc_id, tag and start of every repeated window; start -1: the whole document."""
-    small_batches(docs.sparkSession, 1500)
-    docs = docs.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    groups = _groups(docs)
-    heavy = None
-    if trees:
-        counts = _counts(docs, window)
-        heavy = counts > max(64, counts[0].sum() * SHARE)
+def candidate_texts(docs: DataFrame, window: int, gram: int, groups: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (all columns), dealt by id, with their tag; those with a minimiser that stands twice, with its hashes; doc_id and tag of whole copies."""
     sums = docs.where("text IS NOT NULL").select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("sum"))
     firsts = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sum", "first")
     copies = sums.join(firsts, "sum").where("doc_id > first").select("doc_id", digest(F.hex("sum")).alias("copied"))
@@ -206,8 +178,22 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, trees: bool) -> tu
     other = gone.select(F.col("doc_id").alias("id"), F.col("tag").alias("copied")).hint("shuffle_hash")
     alone = texts.select("doc_id", "tag", "text").join(other, (F.col("doc_id") == F.col("id")) & (F.col("tag") - F.col("copied") == 0), "left_anti")
     hashes = _repeated_hashes(alone, window, gram, groups).groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-    candidates = alone.join(hashes.hint("shuffle_hash"), "doc_id").select("doc_id", "tag", "text", "hashes")
-    route, width = Route(window, gram, groups, heavy), LETTERS + 1 if trees else 5
+    return texts, alone.join(hashes.hint("shuffle_hash"), "doc_id").select("doc_id", "tag", "text", "hashes"), gone
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession, 1500)
+    return docs.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def repeated_windows(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (all columns), dealt by id, with their tag, and doc_id, tag and start of every repeated window; start -1: the whole document."""
+    docs = with_ids(docs)
+    groups = _groups(docs)
+    counts = _counts(docs, window)
+    heavy = counts > max(64, counts[0].sum() * SHARE)
+    texts, candidates, gone = candidate_texts(docs, window, gram, groups)
+    route, width = Route(window, groups, heavy), LETTERS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +208,7 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, trees: bool) -> tu
                     continue
                 at = at[wanted[np.minimum(np.searchsorted(wanted, minima[at]), len(wanted) - 1)] == minima[at]]
                 row = first + words.doc[at]
-                found.append((*route(words, at, minima), ids[row], tags[row], (at - words.first[words.doc[at]]).astype(np.int32)))
+                found.append((*route(words, at), ids[row], tags[row], (at - words.first[words.doc[at]]).astype(np.int32)))
             key, bucket, doc, tag, start = (np.concatenate(x) for x in zip(*found, strict=True))
             order, again, same = _compare(key, doc, tag, start)
             rest, known = np.sort(order[~again & ~same]), np.sort(order[again & ~same])
@@ -241,7 +227,10 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, trees: bool) -> tu
     return texts, found.unionByName(gone.withColumn("start", F.lit(-1)))
 
 
-def remove_repeats(docs: DataFrame, window: int, gram: int, trees: bool, keep: bool = False) -> DataFrame:
+Repeated = Callable[[DataFrame, int, int], tuple[DataFrame, DataFrame]]
+
+
+def remove_repeats(docs: DataFrame, window: int, gram: int, repeated: Repeated, keep: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, spans (first word and word after the last of each removed run), kept (the words left, joined by a space).
 
     keep: rest has the other columns of the documents, as a struct, and the kept text of a document that loses nothing is its own.
@@ -249,7 +238,7 @@ def remove_repeats(docs: DataFrame, window: int, gram: int, trees: bool, keep: b
     other = [c for c in docs.columns if c not in ("doc_id", "text")] if keep else []
     docs = docs.select("doc_id", "text", (F.struct(*other) if other else F.struct(F.lit(0).alias("none"))).alias("rest"))
     rest = docs.schema["rest"]
-    texts, found = repeated_windows(docs if keep else docs.select("doc_id", "text"), window, gram, trees)
+    texts, found = repeated(docs if keep else docs.select("doc_id", "text"), window, gram)
     tagged = F.col("tag") != 0
     starts = found.groupBy("doc_id").agg(
         F.collect_list(F.when(~tagged, F.col("start"))).alias("starts"), F.collect_list(F.when(tagged, F.struct("tag", "start"))).alias("own"))
@@ -290,8 +279,4 @@ def remove_repeats(docs: DataFrame, window: int, gram: int, trees: bool, keep: b
 
 
 def suffix_trees(docs: DataFrame, window: int = 20, keep: bool = False) -> DataFrame:
-    return remove_repeats(docs, window, max(1, window * 3 // 5), trees=True, keep=keep)
-
-
-def suffix_arrays(docs: DataFrame, window: int = 50) -> DataFrame:
-    return remove_repeats(docs, window, max(1, window // 3), trees=False)
+    return remove_repeats(docs, window, max(1, window * 3 // 5), repeated_windows, keep)

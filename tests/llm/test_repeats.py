@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siemloom.llm import repeats
+from siemloom.llm import repeats, suffix_array
 from tests.llm.cases import frame, odd_rows
 
 
@@ -25,7 +25,7 @@ def brute(rows, n):
 def test_equals_brute_force(spark, trees, window):
     rows = odd_rows()
     docs = frame(spark, [*rows, (None, "no id", *rows[0][2:])])
-    out = (repeats.suffix_trees if trees else repeats.suffix_arrays)(docs, window)
+    out = (repeats.suffix_trees if trees else suffix_array.suffix_arrays)(docs, window)
     got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out.collect()}
     assert got == brute(rows, window)
 
@@ -69,7 +69,7 @@ def test_rows_that_share_an_id(spark, trees, window):
                 seen.add(k)
             want.append((i, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()))
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        out = (repeats.suffix_trees if trees else repeats.suffix_arrays)(docs, window)
+        out = (repeats.suffix_trees if trees else suffix_array.suffix_arrays)(docs, window)
         assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept) for x in out.collect()) == sorted(want)
 
 
@@ -78,3 +78,22 @@ def test_kept_columns(spark):
     out = repeats.suffix_trees(frame(spark, rows), keep=True)
     same = {r.doc_id: r for r in out.collect()}
     assert same[4].kept == "one" and same[4].rest.stays == 3 and same[7].n_removed > 0
+
+
+def test_suffix_array_with_frequent_grams(spark, monkeypatch):
+    """Some or all grams go by whole windows; the result is the same."""
+    rows = odd_rows(4, 90)
+    want = {k: v[1] for k, v in brute(rows, 50).items()}
+    for least in (-10**6, 3):
+        monkeypatch.setattr(suffix_array, "LEAST", least)
+        monkeypatch.setattr(suffix_array, "BINS", 4096 if least < 0 else 16)
+        assert {r.doc_id: r.n_removed for r in suffix_array.suffix_arrays(frame(spark, rows)).collect()} == want
+
+
+@pytest.mark.parametrize("text", ["a b c d", "", "w " * 30, "w " * 60])
+def test_tables_of_one_row_and_partitions_without_words(spark, text):
+    for rows in ([(1, text)], [(1, text), (2, ""), (3, None), (4, "x y")], [(1, text), (2, text)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+        for f, window in ((repeats.suffix_trees, 20), (suffix_array.suffix_arrays, 50)):
+            got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in f(docs, window).collect()}
+            assert got == brute(rows, window)
