@@ -7,7 +7,10 @@ bound; a block's documents are scored through its forward index (the block's row
 score so far. Bounds equal to it are still scored, since a tie may have a smaller id. A last step merges the k of every chunk.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without an id; a vector whose length is not that of the query
-is no candidate for it. Repeated rows are candidates each. Ties go to the smaller id.
+is no candidate for it. Repeated rows are candidates each. Ties go to the smaller id. Query rows that repeat
+are one query; different vectors under one query id are each searched and their lists merged, so a candidate may stand in it for each. Where products
+could leave the range in which doubles are exact, a chunk is scored as whole numbers of any size, without bounds; a component or score that does not fit
+64 bits counts as the largest or least that does.
 """
 
 from __future__ import annotations
@@ -31,6 +34,12 @@ def integer_vectors(rows: DataFrame, id_column: str, vector_column: str, scale:
         F.col(id_column).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale)).alias("v"))
 
 
+def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of any size, brought into 64 bits."""
+    scores = vectors.astype(object) @ query.astype(object)
+    return np.array([min(max(s, 1 - (1 << 63)), (1 << 63) - 1) for s in scores], np.int64)
+
+
 class Blocks:
     """A chunk of candidates, cut into blocks."""
 
@@ -38,7 +47,8 @@ class Blocks:
         # Like vectors together: by the term of the largest weight, then by that weight.
         top = np.abs(vectors).argmax(1)
         order = np.lexsort((ids, vectors[np.arange(len(ids)), top], top))
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
+        self.ids, self.whole = ids[order], vectors[order]
+        self.vectors = self.whole.astype(np.float64)
         self.cuts = np.arange(0, len(ids), BLOCK)
         self.most = np.maximum.reduceat(self.vectors, self.cuts)
         self.least = np.minimum.reduceat(self.vectors, self.cuts)
@@ -46,10 +56,11 @@ class Blocks:
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Each query's id with the ids and scores of its k best in this chunk."""
         q = queries.astype(np.float64)
-        bounds = np.maximum(q, 0) @ self.most.T + np.minimum(q, 0) @ self.least.T
+        exact = np.abs(q).max(initial=0) * np.abs(self.vectors).max(initial=0) * max(1, q.shape[1]) < 2.0 ** 53
+        bounds = np.maximum(q, 0) @ self.most.T + np.minimum(q, 0) @ self.least.T if exact else np.full((len(q), len(self.cuts)), np.inf)
         orders = np.argsort(-bounds, axis=1, kind="stable")
         for row, (own, order) in enumerate(zip(query_ids, orders, strict=True)):
-            ids, scores, kth, at, step = np.zeros(0, np.int64), np.zeros(0), -np.inf, 0, 4
+            ids, scores, kth, at, step = np.zeros(0, np.int64), np.zeros(0, float if exact else np.int64), -np.inf, 0, 4
             while at < len(order) and (len(ids) < k or bounds[row, order[at]] >= kth):
                 blocks = order[at:at + step]
                 blocks = blocks[bounds[row, blocks] >= kth] if len(ids) >= k else blocks
@@ -58,7 +69,7 @@ class Blocks:
                     continue
                 places = (self.cuts[blocks][:, None] + np.arange(BLOCK)).ravel()
                 places = places[places < len(self.ids)]
-                got = self.vectors[places] @ q[row]
+                got = self.vectors[places] @ q[row] if exact else _exact(self.whole[places], queries[row])
                 keep = (got >= kth) & (self.ids[places] != own)
                 ids, scores = np.r_[ids, self.ids[places[keep]]], np.r_[scores, got[keep]]
                 best = np.lexsort((ids, -scores))[:k]
@@ -68,14 +79,14 @@ class Blocks:
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
-    """query_id, rank, id and score of the k best candidates of each query. rows: id, v (integers below 2^24); is_query: over id."""
-    rows = rows.withColumn("v", F.col("v").cast("array<int>"))
+    """query_id, rank, id and score of the k best candidates of each query. rows: id, v (64-bit integers); is_query: over id."""
+    rows = rows.withColumn("v", F.col("v").cast("array<long>"))
     n = rows.agg(F.count(F.lit(1))).first()[0]
     chunks = max(1, math.ceil(n / CHUNK))
     spread = math.ceil(n / QUERIES / 8) or 1
     candidates = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"))
     # Every chunk gets every query, in blocks; a task holds one chunk and some blocks of queries.
-    queries = rows.where(is_query).select(F.col("id"), F.col("v"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(spread)).alias("part"))
+    queries = rows.where(is_query).distinct().select(F.col("id"), F.col("v"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(spread)).alias("part"))
     queries = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
     candidates = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<long>")))
 

@@ -15,6 +15,7 @@ that l before it is verified by the whole sets.
 
 Words are runs of bytes other than ASCII white space, A-Z in lower case. A text of fewer words than a shingle has is one shingle; without words
 the set is empty and linked with nothing. Null texts are empty. Rows without an id are left out; repeated rows are one class and each returned.
+Rows that share an id but not the text are documents of their own; the id alone links nothing.
 """
 
 from __future__ import annotations
@@ -193,8 +194,8 @@ class Incidence:
 
 
 def links(visitors: pd.DataFrame, members: pd.DataFrame, percent: int, within: bool) -> list[tuple[int, int]]:
-    """A forest (pairs of rep) of the links between visitors and members, and among members if within."""
-    reps = np.r_[members.rep.to_numpy(np.int64), visitors.rep.to_numpy(np.int64)]
+    """A forest (pairs of classes) of the links between visitors and members, and among members if within."""
+    reps = np.r_[members["class"].to_numpy(np.int64), visitors["class"].to_numpy(np.int64)]
     parent = list(range(len(reps)))
 
     def top(i: int) -> int:
@@ -252,53 +253,57 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     many = active.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     placed = active.join(many, "near").withColumn("block", F.xxhash64("near", F.pmod(F.xxhash64("class"), "parts"))).drop("near", "parts")
     placed = cut(placed)
-    at = placed.select("rep", "block", "l", F.explode("shared.value").alias("value"))
+    at = placed.select("class", "block", "l", F.explode("shared.value").alias("value"))
     held = at.groupBy("value", F.col("block").alias("other")).agg(F.min("l").alias("other_l"))
-    visits = at.join(held, "value").where("block > other").groupBy("rep", "other").agg(
-        F.count(F.lit(1)).alias("n"), F.min("l").alias("l"), F.min("other_l").alias("other_l")).where("n >= least(l, other_l)").select("rep", F.col("other").alias("block"))
+    visits = at.join(held, "value").where("block > other").groupBy("class", "other").agg(
+        F.count(F.lit(1)).alias("n"), F.min("l").alias("l"), F.min("other_l").alias("other_l")).where("n >= least(l, other_l)").select("class", F.col("other").alias("block"))
     visits = cut(visits)
     parts = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / VISITORS).alias("parts"))
     alone = placed.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
-    own = placed.select("rep", "block").join(alone, "block").join(parts, "block", "left").where("members > 1 OR parts IS NOT NULL")
-    own = own.select("rep", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(False).alias("guest"))
-    guests = visits.join(parts, "block").select("rep", "block", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(True).alias("guest"))
-    ways = own.unionByName(guests).groupBy("rep").agg(F.collect_list(F.struct("block", "part", "guest")).alias("ways"))
+    own = placed.select("class", "block").join(alone, "block").join(parts, "block", "left").where("members > 1 OR parts IS NOT NULL")
+    own = own.select("class", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(False).alias("guest"))
+    guests = visits.join(parts, "block").select("class", "block", F.pmod(F.xxhash64("class"), "parts").alias("part"), F.lit(True).alias("guest"))
+    ways = own.unionByName(guests).groupBy("class").agg(F.collect_list(F.struct("block", "part", "guest")).alias("ways"))
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["rep", "guest"])
+        rows = rows.drop_duplicates(["class", "guest"])
         members, visitors = rows[~rows.guest], rows[rows.guest]
         found = links(visitors, members, percent, int(rows.part.iloc[0]) == 0) if len(members) else []
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    sent = _sets_on_their_ways(docs, placed.drop("block").join(ways, "rep"), n)
+    sent = _sets_on_their_ways(docs, placed.drop("block").join(ways, "class"), n)
     edges = cut(sent.groupBy("block", "part").applyInPandas(meet, "a long, b long"))
-    roots = components(edges).withColumnRenamed("node", "rep")
-    classes = reps.join(roots, "rep", "left").select("class", F.coalesce("root", "rep").alias("component_id"))
+    roots = components(edges).withColumnRenamed("node", "class")
+    least = roots.join(reps, "class").groupBy("root").agg(F.min("rep").alias("least"))
+    classes = reps.join(roots.join(least, "root"), "class", "left").select("class", F.coalesce("least", "rep").alias("component_id"))
     full = surveyed.where("n > 0").join(classes, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(surveyed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-_SENT = {"block": pa.int64(), "part": pa.int64(), "guest": pa.bool_(), "rep": pa.int64(), "size": pa.int64(), "l": pa.int64(), "set": pa.binary(), "values": pa.binary(), "levels": pa.binary()}
+_SENT = {"block": pa.int64(), "part": pa.int64(), "guest": pa.bool_(), "class": pa.int64(), "size": pa.int64(), "l": pa.int64(), "set": pa.binary(), "values": pa.binary(), "levels": pa.binary()}
 
 
 def _sets_on_their_ways(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     """A row for each block and part that a class lives in or visits, with its prefix and its whole set."""
-    info = chosen.select(F.col("rep").alias("doc_id"), "size", "l", F.col("shared.value").alias("values"), F.col("shared.level").alias("levels"), "ways")
-    rows = docs.join(info.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "size", "l", "values", "levels", "ways")
+    info = chosen.select(F.col("rep").alias("doc_id"), "class", "size", "l", F.col("shared.value").alias("values"), F.col("shared.level").alias("levels"), "ways")
+    rows = docs.join(info.hint("shuffle_hash"), "doc_id").select("class", "text", "size", "l", "values", "levels", "ways")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, size, l = (batch.column(c).to_pylist() for c in ("doc_id", "size", "l"))
+            own, size, l = (batch.column(c).to_pylist() for c in ("class", "size", "l"))
             values, levels, ways = (batch.column(c) for c in ("values", "levels", "ways"))
             for first, after, data, offsets in pieces(batch.column("text")):
                 sets, out = Sets(data, offsets, n), []
+                of_class = signed(sets.sums()).tolist()
                 for i in range(first, after):
+                    if of_class[i - first] != own[i]:  # another text under the same id
+                        continue
                     whole = sets.value[sets.first[i - first]:sets.first[i - first + 1]].tobytes()
                     value, level = values[i].values.to_numpy().tobytes(), levels[i].values.to_numpy().astype(np.uint8).tobytes()
-                    out += [(w["block"], w["part"], w["guest"], rep[i], size[i], l[i], whole, value, level) for w in ways[i].as_py()]
+                    out += [(w["block"], w["part"], w["guest"], own[i], size[i], l[i], whole, value, level) for w in ways[i].as_py()]
                     if len(out) >= 1000:
                         yield _rows(out, _SENT)
                         out = []
                 yield _rows(out, _SENT)
 
-    return rows.mapInArrow(run, "block long, part long, guest boolean, rep long, size long, l long, set binary, values binary, levels binary")
+    return rows.mapInArrow(run, "block long, part long, guest boolean, class long, size long, l long, set binary, values binary, levels binary")

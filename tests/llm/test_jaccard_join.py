@@ -39,3 +39,15 @@ def test_empty_and_repeated_rows(spark):
     rows = odd_rows()
     assert similar(frame(spark, []), 3, 90).count() == 0
     assert similar(frame(spark, rows + rows), 3, 90).count() == 2 * len(rows)
+
+
+def test_texts_that_share_an_id(spark):
+    """Each row is a document; row order doesn't matter, nor do partitions whose texts have no words."""
+    a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
+    rows = [(5, a), (5, b), (9, b + " more"), (9, ""), (12, a + " x"), (12, None), (14, "one two")]
+    want = sorted([(5, 298, 5), (5, 298, 5), (9, 299, 5), (9, 0, 9), (12, 299, 5), (12, 0, 12), (14, 1, 14)])
+    for order in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(5, "text")
+        assert sorted(map(tuple, similar(docs, 3, 90).collect())) == want
+    alone = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    assert [tuple(r) for r in similar(alone, 3, 90).collect()] == [(1, 0, 1)]

@@ -122,3 +122,13 @@ def test_marginals():
         want += (one / total).tolist()
         first += n
     assert np.allclose(got, want) and np.allclose(pairs, expected)
+
+
+def test_topk_large_components_and_repeated_queries(spark):
+    rows = [(20, [1e9, 1.0]), (20, [1e9, 1.0]), (1, [1e9, 2.0]), (2, [1e9, 3.0]), (3, [-1e300, 0.0]), (40, [0.5, 0.25]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = block_topk.top_k(block_topk.integer_vectors(df, "vec_id", "embedding"), F.col("id") % 20 == 0, 3).collect()
+    big = (1 << 63) - 1
+    lists = {q: [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (20, 40)}
+    assert lists[20] == [(1, 1, big), (2, 2, big), (3, 40, 64 * 10**9 * 32 + 64 * 16)]
+    assert lists[40] == [(1, 2, 64 * 10**9 * 32 + 192 * 16), (2, 1, 64 * 10**9 * 32 + 128 * 16), (3, 20, 64 * 10**9 * 32 + 64 * 16)]
