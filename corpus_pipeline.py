@@ -6,17 +6,16 @@ an id pass the second and third stages as they are. A text that loses a passage
 
 from __future__ import annotations
 
-import tempfile
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siemloom.llm import byte_bpe, decontaminate, jaccard_join, line_crf, repeats
 from siemloom.llm.training import remainder
+from siemloom.sources import files
 
-#: A document goes if it is likelier bad than good.
-LEAST_QUALITY = 0.5
+#: A document goes if the classifier's own decision is against it.
+LEAST_QUALITY = 0.7
 #: Near duplicates: words of a shingle, and per cent of similarity.
 SHINGLE, SIMILAR = 5, 80
 #: Words of a passage that may stand once.
@@ -80,12 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written and read again before the next."""
+    """All stages over documents; each is written to the shared folder and read again before the next, and removed when the next is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{spark.sparkContext.applicationId}-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    folder = files.new_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            files.remove(spark, f"{folder}/{k - 1}")
     return docs
