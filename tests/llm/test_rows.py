@@ -130,5 +130,5 @@ def test_topk_large_components_and_repeated_queries(spark):
     got = block_topk.top_k(block_topk.integer_vectors(df, "vec_id", "embedding"), F.col("id") % 20 == 0, 3).collect()
     big = (1 << 63) - 1
     lists = {q: [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (20, 40)}
-    assert lists[20] == [(1, 1, big), (2, 2, big), (3, 40, 64 * 10**9 * 32 + 64 * 16)]
+    assert lists[20] == [(1, 1, big), (2, 2, big), (3, 4, 64 * 10**9 * 64 + 64 * 64)]
     assert lists[40] == [(1, 2, 64 * 10**9 * 32 + 192 * 16), (2, 1, 64 * 10**9 * 32 + 128 * 16), (3, 20, 64 * 10**9 * 32 + 64 * 16)]
