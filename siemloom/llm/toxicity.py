@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word enters as two vectors: that of the word itself, if it is one of the vocabulary, and the mean of those of its character trigrams. Over windows
-of WINDOW words, one starting every STRIDE words, two gated recurrent layers run in both directions; attention weighs their states into one
+of WINDOW words, one starting at every word, two gated recurrent layers run in both directions; attention weighs their states into one
 vector, which becomes the window's score. All windows of a text are scored; the highest one is the text's, turned into a probability by a logistic
 curve. A text of fewer words is one shorter window, an empty or null one has the lowest evidence.
 
@@ -23,7 +23,7 @@ from siemloom.llm.training import labelled_sample
 from siemloom.llm.words import NON_ALNUM, U, Words, mix, pieces, small_batches, text_bytes
 
 SAMPLE, MAX_WORDS, MIN_DOCS, MOST_VOCABULARY = 1000, 2000, 3, 20_000
-WINDOW, STRIDE = 16, 8
+WINDOW = 16
 WORD, CHARS, HIDDEN, BUCKETS = 6, 6, 6, 4096
 ROUNDS, PASSES, RATE = 3, 5, 0.02
 _NEUTRAL = 0.25
@@ -47,6 +47,16 @@ def trigrams(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (key >> U(64 - 12)).astype(np.int64), n
 
 
+class Windows:
+    """Chosen windows by themselves: their words, and of the distinct ones the number in the vocabulary and the trigrams."""
+
+    place: np.ndarray
+    size: np.ndarray
+    number: np.ndarray
+    sizes: np.ndarray
+    buckets: np.ndarray
+
+
 class Texts:
     """Distinct words of a run of texts and the windows over them."""
 
@@ -57,22 +67,22 @@ class Texts:
         known = vocabulary[at] == self.hashes if len(vocabulary) else np.zeros(len(at), bool)
         self.number = np.where(known, at + 1, 0)
         self.buckets, self.sizes = trigrams(words, where) if len(where) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        # a window at every stride; the last one ends with the text
-        steps = np.maximum(1, -(-(words.counts - WINDOW) // STRIDE) + 1) * (words.counts > 0)
+        # a window at every word; the last one ends with the text
+        steps = np.maximum(1, words.counts - WINDOW + 1) * (words.counts > 0)
         self.doc = np.repeat(np.arange(len(words.counts)), steps)
-        inner = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
-        most = np.maximum(0, words.counts - WINDOW)[self.doc]
-        begin = words.first[:-1][self.doc] + np.minimum(inner * STRIDE, most)
+        self.begin = words.first[:-1][self.doc] + np.arange(len(self.doc)) - np.repeat(np.cumsum(steps) - steps, steps)
         self.size = np.minimum(WINDOW, words.counts[self.doc])
-        place = begin[:, None] + np.minimum(np.arange(WINDOW), self.size[:, None] - 1)
-        self.place = self.word[place] if len(place) else np.zeros((0, WINDOW), np.int64)
         self.texts = len(words.counts)
 
-    def part(self, some: np.ndarray) -> Texts:
+    def place(self, some: np.ndarray) -> np.ndarray:
+        """Words of some windows; a shorter one's last word fills it up."""
+        return self.word[self.begin[some][:, None] + np.minimum(np.arange(WINDOW), self.size[some][:, None] - 1)]
+
+    def part(self, some: np.ndarray) -> Windows:
         """Some of the windows, with only their words."""
-        new = Texts.__new__(Texts)
-        words, place = np.unique(self.place[some], return_inverse=True)
-        new.place, new.size, new.doc, new.texts = place.reshape(len(some), WINDOW), self.size[some], self.doc[some], self.texts
+        new = Windows()
+        words, place = np.unique(self.place(some), return_inverse=True)
+        new.place, new.size = place.reshape(len(some), WINDOW), self.size[some]
         new.number, new.sizes = self.number[words], self.sizes[words]
         first = (np.cumsum(self.sizes) - self.sizes)[words]
         inner = np.arange(new.sizes.sum()) - np.repeat(np.cumsum(new.sizes) - new.sizes, new.sizes)
@@ -92,7 +102,7 @@ class Network:
             "b": np.zeros((2, 3 * HIDDEN), np.float32), "wa": normal(2 * HIDDEN, by=0.3), "wo": normal(2 * HIDDEN, by=0.3),
             "bo": np.zeros(1, np.float32)}
 
-    def inputs(self, t: Texts) -> np.ndarray:
+    def inputs(self, t: Texts | Windows) -> np.ndarray:
         """Vector of every distinct word."""
         p = self.p
         if not len(t.number):
@@ -129,12 +139,73 @@ class Network:
     def gates(self, x: np.ndarray) -> np.ndarray:
         return np.stack([x @ self.p["wx"][d] + self.p["b"][d] for d in (0, 1)])
 
-    def windows(self, t: Texts, at_once: int = 16384) -> np.ndarray:
-        g = self.gates(self.inputs(t))
-        parts = [self.run(g, t.place[a:a + at_once], t.size[a:a + at_once]) for a in range(0, len(t.place), at_once)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.float32)
-
-    def gradients(self, t: Texts, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def windows(self, t: Texts, at_once: int = 8192) -> np.ndarray:
+        """Scores of all windows. Full ones that start at neighbouring words are run together: at each step they read neighbouring words."""
+        g, out = self.gates(self.inputs(t)), np.zeros(len(t.begin), np.float32)
+        short = np.flatnonzero(t.size < WINDOW)
+        for a in range(0, len(short), at_once):
+            some = short[a:a + at_once]
+            out[some] = self.run(g, t.place(some), t.size[some])
+        full = np.flatnonzero(t.size == WINDOW)
+        cuts = np.searchsorted(t.begin[full], np.arange(0, len(t.word) + at_once, at_once))
+        with np.errstate(over="ignore"):
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    begin = t.begin[full[a:b]]
+                    out[full[a:b]] = self._neighbours(g, t.word[begin[0]:begin[-1] + WINDOW])[begin - begin[0]]
+        return out
+
+    def _neighbours(self, gates: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Scores of the windows that start at each word, but for the last WINDOW - 1.
+
+        Features lie in rows, so that a step is a shifted slice. Signs and factors are in the weights: 1 / (1 + exp(u)) is the gates' curve and,
+        doubled less 1, the candidate's. What attention and output read of a state comes with the next step's product.
+        """
+        p, n, two = self.p, len(word) - WINDOW + 1, 2 * HIDDEN
+        e, v = np.zeros((WINDOW, n), np.float32), np.zeros((WINDOW, n), np.float32)
+        factor = np.repeat(np.array([-1, -2], np.float32), (two, HIDDEN))[:, None]
+        for d in (0, 1):
+            own = slice(d * HIDDEN, (d + 1) * HIDDEN)
+            read = np.stack([p["wa"][own], p["wo"][own]])
+            wh = p["wh"][d].T * factor
+            first, wc = np.concatenate([wh[:two], read]), wh[two:]
+            g = gates[d][word].T * factor
+            h, last = None, 0
+            for step in range(WINDOW):
+                at = step if d == 0 else WINDOW - 1 - step
+                if h is None:
+                    zr, c = g[:two, at:at + n].copy(), g[two:, at:at + n].copy()
+                else:
+                    found = first @ h
+                    e[last] += found[two]
+                    v[last] += found[two + 1]
+                    zr = found[:two]
+                    zr += g[:two, at:at + n]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                if h is not None:
+                    c = wc @ (zr[HIDDEN:] * h)
+                    c += g[two:, at:at + n]
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                if h is None:
+                    h = c * zr[:HIDDEN]
+                else:
+                    c -= h
+                    c *= zr[:HIDDEN]
+                    h += c
+                last = at
+            found = read @ h
+            e[last] += found[0]
+            v[last] += found[1]
+        e -= e.max(0)
+        np.exp(e, out=e)
+        return (e * v).sum(0) / e.sum(0) + p["bo"][0]
+
+    def gradients(self, t: Windows, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p, x = self.p, self.inputs(t)
         place, size = t.place, t.size
         out, (states, a, pooled, kept) = self.run(self.gates(x), place, size, keep=True)
@@ -200,7 +271,10 @@ def fit(texts: list[str], y: np.ndarray) -> Network | None:
         if turn:
             scores = net.windows(t)
         else:
-            scores = net.p["word"][t.number, 0][t.place].max(1) if len(t.place) else np.zeros(0)
+            odds = net.p["word"][t.number, 0][t.word]
+            scores = np.full(len(t.begin), -np.inf, np.float32)
+            for step in range(WINDOW):
+                np.maximum(scores, odds[t.begin + np.minimum(step, t.size - 1)], out=scores)
         order = np.lexsort((-scores, t.doc))
         own = t.doc[order]
         rank = np.arange(len(order)) - np.searchsorted(own, own)

@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from siemloom.llm import block_topk, line_crf, preferences, toxicity
 from siemloom.llm.training import remainder
+from siemloom.llm.words import NON_ALNUM, Words, text_bytes
 from tests.compare import connect, difference
 from tests.llm.cases import frame, odd_rows
 
@@ -58,7 +60,68 @@ def test_toxicity_held_out(spark):
     docs, labels = labelled(spark, "/root/testdata/sf0.1")
     out = entry.queries()["op7_toxicity"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out")
     right = {r.toxic: r.right for r in out.groupBy("toxic").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right")).collect()}
-    assert right[0] > 0.95 and right[1] > 0.85
+    assert right[0] > 0.95 and right[1] > 0.9  # one in twelve of the texts marked toxic holds none of the insults
+
+
+def test_toxic_passage_at_every_offset(spark):
+    """A toxic document's best window is found wherever it stands in a long clean text."""
+    docs, labels = labelled(spark, "/root/testdata/sf0.1")
+    net = toxicity.train(docs, labels, remainder(5) == 0)
+    rows = docs.join(labels, "doc_id").where("n_chars > 200").orderBy("doc_id").select("text", "toxic").collect()
+    clean = " ".join(r.text for r in rows if r.toxic == 0).split()
+    score = lambda texts: net.score(*text_bytes(pa.array(texts)))
+    clean = [" ".join(clean[a:a + 200]) for a in range(0, 20_000, 200)]
+    clean = [t.split() for t, x in zip(clean, score(clean), strict=True) if x < 0.5]
+    assert len(clean) > 80
+    found, all_ = 0, 0
+    for r in [r for r in rows if r.toxic == 1][:20]:
+        data, offsets = text_bytes(pa.array([r.text]))
+        t = toxicity.Texts(data, offsets, net.vocabulary)
+        words = Words(data, offsets, NON_ALNUM, lower=True)
+        best = t.begin[net.windows(t).argmax()]
+        passage = bytes(words.data[words.starts[best]:words.ends[min(best + toxicity.WINDOW, words.n) - 1]]).decode().split()
+        texts = [" ".join(clean[k][:100 + k] + passage + clean[k][100 + k:]) for k in range(32)]
+        scores = score(texts)
+        alone = score([" ".join(passage)])[0]
+        assert (scores >= alone - 1e-4).all()  # the passage stands whole in a window at any offset
+        found, all_ = found + (scores >= 0.5).sum(), all_ + len(scores)
+    assert found > 0.95 * all_
+
+
+def test_toxicity_equals_windows_one_by_one():
+    """Scores by scalar loops over every window of every text."""
+    r = np.random.default_rng(8)
+    lexicon = ["you", "are", "bad", "mean", "é", "a1", "of", "日本", "zoo", "nothing"]
+    texts = [" ".join(r.choice(lexicon, n)) for n in (0, 1, 2, 15, 16, 17, 18, 40, 3, 16, 90)] + [None, "  ", "Bad, BAD! bad"]
+    data, offsets = text_bytes(pa.array(texts))
+    words = Words(data, offsets, NON_ALNUM, lower=True)
+    net = toxicity.Network(np.unique(words.hashes)[::2])
+    net.p["b"][:], net.p["bo"][:] = r.normal(size=net.p["b"].shape) / 3, 0.25
+    p, n = net.p, toxicity.HIDDEN
+    every = toxicity.Texts(data, offsets, net.vocabulary)
+    x, sigmoid = net.inputs(every).astype(float), lambda u: 1 / (1 + np.exp(-u))
+
+    def window(own):
+        states = np.zeros((len(own), 2 * n))
+        for d in (0, 1):
+            h = np.zeros(n)
+            for at in (range(len(own)) if d == 0 else reversed(range(len(own)))):
+                g = x[own[at]] @ p["wx"][d] + p["b"][d]
+                z, f = sigmoid(g[:n] + h @ p["wh"][d][:, :n]), sigmoid(g[n:2 * n] + h @ p["wh"][d][:, n:2 * n])
+                h = (1 - z) * h + z * np.tanh(g[2 * n:] + (f * h) @ p["wh"][d][:, 2 * n:])
+                states[at, d * n:(d + 1) * n] = h
+        a = np.exp(states @ p["wa"])
+        return (a / a.sum()) @ states @ p["wo"] + p["bo"][0]
+
+    want = []
+    for k in range(len(texts)):
+        own = every.word[words.first[k]:words.first[k + 1]]
+        want.append([window(own[a:a + toxicity.WINDOW]) for a in range(max(1, len(own) - toxicity.WINDOW + 1))] if len(own) else [])
+    flat = np.array([s for w in want for s in w])
+    for at_once in (5, 4096):
+        assert np.allclose(net.windows(every, at_once), flat, atol=1e-4)
+    best = np.array([max(w, default=-12) for w in want])
+    assert np.allclose(net.score(data, offsets), sigmoid(best), atol=1e-4)
 
 
 def test_models_without_labels_and_odd_rows(spark):
@@ -78,19 +141,17 @@ def test_models_without_labels_and_odd_rows(spark):
 def test_gradients():
     """Backpropagation against differences."""
     texts = ["you are bad and mean", "a fine day in the sun with you", "bad bad"]
-    from siemloom.llm.words import NON_ALNUM, Words, text_bytes
-    import pyarrow as pa
-
     data, offsets = text_bytes(pa.array(texts))
     net = toxicity.Network(np.unique(Words(data, offsets, NON_ALNUM, lower=True).hashes))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     t, y, w = toxicity.Texts(data, offsets, net.vocabulary), np.array([1.0, 0, 1]), np.array([1.0, 2, 0.5])
+    chosen = t.part(np.arange(3))
 
     def loss():
         s = net.windows(t).astype(np.float64)
         return float((w * (np.logaddexp(0, s) - y * s)).sum())
 
-    g = net.gradients(t, y, w)
+    g = net.gradients(chosen, y, w)
     for k, v in net.p.items():
         at = np.unravel_index(np.abs(g[k]).argmax(), v.shape)
         old, step = v[at], 1e-2
