@@ -8,6 +8,9 @@ less than 0. It is an overlap if enough of its words are equal: at least LEAST,
 No overlap lacks a hit: the part of a run up to its LEAST-th equal word is one of 3,876 patterns (no head of it is below 0), and in each of them one
 of the masks fits on equal words. A shorter item is equal as a whole and holds the mask without gaps, or is found by its exact words.
 
+Texts and items that repeat themselves hit each other at very many pairs of places, but on few alignments: places of one hash at equal steps are
+taken together, and two such sequences of the same step give their alignments at once. What steps differently is expanded in bounded parts.
+
 The benchmark is taken in blocks of at most BLOCK_WORDS words; each block is sent to all tasks and every text meets every block, so the benchmark
 may have any size. Words are runs of digits, letters and bytes outside ASCII, in lower case. Null and empty texts on either side match nothing.
 Rows are judged one by one: repeated rows give repeated results; the filter keeps all columns.
@@ -77,6 +80,34 @@ def runs(equal: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b, *_ in found]
 
 
+def progressions(same: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts places into runs of equal steps: index of each run's first place, its step (0: a single place), its places.
+
+    same: whether a place is of the same group as the one before it (False for the first).
+    """
+    gap = np.diff(at, prepend=at[:1])
+    new = ~same
+    new[2:] |= same[1:-1] & (gap[2:] != gap[1:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.r_[first, len(at)])
+    return first, np.where(count > 1, gap[np.minimum(first + 1, len(at) - 1)] if len(at) else 0, 0), count
+
+
+def _expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For n copies of each row: the row of each copy and the copy's number within it."""
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.arange(len(own)) - (np.cumsum(n) - n)[own]
+
+
+def _parts(n: np.ndarray) -> Iterator[slice]:
+    """Slices of rows whose n add up to about CELLS."""
+    if len(n):
+        ends = np.cumsum(n)
+        cuts = np.unique(np.searchsorted(ends, np.arange(CELLS, ends[-1] + CELLS, CELLS), "left") + 1)
+        for a, b in zip(np.r_[0, cuts[:-1]].tolist(), cuts.tolist(), strict=True):
+            yield slice(a, b)
+
+
 class Index:
     """Of a block of benchmark items."""
 
@@ -90,36 +121,69 @@ class Index:
             at = np.flatnonzero((self.words.counts[self.words.doc] == n) & (self.words.left == n))
             parts.append((self.words.grams(n)[at], at))
         hashes, places = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.places = hashes[order], places[order]
+        order = np.lexsort((places, hashes))
+        hashes, places = hashes[order], places[order]
+        item = self.words.doc[places]
+        same = np.r_[False, (hashes[1:] == hashes[:-1]) & (item[1:] == item[:-1])][:len(places)]
+        first, self.step, self.count = progressions(same, places)
+        self.hashes, self.places, self.item = hashes[first], places[first], item[first]
         self.sieve = np.zeros(1 << SIEVE, bool)
         self.sieve[(self.hashes >> U(64 - SIEVE)).astype(np.int64)] = True
         self.short = [n for n in range(1, min(map(len, MASKS))) if (self.words.counts == n).any()]
 
-    def _hits(self, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _alignments(self, words: Words, at: np.ndarray, hashes: np.ndarray) -> Iterator[np.ndarray]:
+        """The alignments that hits give, as numbers of text, item and shift in one; they may come several times."""
         some = np.flatnonzero(self.sieve[(hashes >> U(64 - SIEVE)).astype(np.int64)])
-        at, hashes = at[some], hashes[some]
-        a, b = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-        n = b - a
-        at, a, n = at[n > 0], a[n > 0], n[n > 0]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.places[np.repeat(a, n) + inner]
+        some = some[np.searchsorted(self.hashes, hashes[some], "left") < np.searchsorted(self.hashes, hashes[some], "right")]
+        some = some[np.argsort(hashes[some], kind="stable")]
+        at, hashes, doc = at[some], hashes[some], words.doc[at[some]]
+        same = np.r_[False, (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])][:len(at)]
+        first, step, count = progressions(same, at)
+        at, hashes, doc = at[first], hashes[first], doc[first]
+        a = np.searchsorted(self.hashes, hashes, "left")
+        n = np.searchsorted(self.hashes, hashes, "right") - a
+        for part in _parts(n):
+            own, k = _expand(n[part])
+            own, other = own + part.start, (a[part])[own] + k
+            # a sequence of another step meets the text's place by place
+            uneven = (step[own] != self.step[other]) & (count[own] > 1) & (self.count[other] > 1)
+            copy, k = _expand(np.where(uneven, self.count[other], 1))
+            own, other, uneven = own[copy], other[copy], uneven[copy]
+            place = self.places[other] + k * self.step[other]
+            behind = np.where(uneven, 1, self.count[other])
+            low = at[own] - place - self.step[other] * (behind - 1)
+            by = np.where(uneven, step[own], np.maximum(step[own], self.step[other]))
+            total = count[own] + behind - 1
+            key = self._key(words, doc[own], self.item[other], low)
+            for inner in _parts(total):
+                row, k = _expand(total[inner])
+                yield np.unique(key[inner][row] + k * by[inner][row])
+
+    def _key(self, words: Words, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        return (doc * len(self.ids) + item) * (words.n + self.words.n + 1) + shift + self.words.n
 
     def overlaps(self, words: Words) -> list[tuple[int, int, int, int, int]]:
-        """Text's row, item, first word, word after the last, equal words of every overlap."""
+        """Text's row, item, first word, word after the last, equal words of every overlap; once where several alignments give the same."""
         if not words.n or not len(self.hashes):
             return []
-        found = [self._hits(*seed) for seed in seeds(words)]
+        wanted = list(seeds(words))
         for n in self.short:
             at = np.flatnonzero(words.left >= n)
-            found.append(self._hits(at, words.grams(n)[at]))
-        at, place = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        if not len(at):
+            wanted.append((at, words.grams(n)[at]))
+        found, held = [np.zeros(0, np.int64)], 0
+        for at, hashes in wanted:
+            for part in self._alignments(words, at, hashes):
+                found.append(part)
+                held += len(part)
+                if held > 4 * CELLS:
+                    found, held = [np.unique(np.concatenate(found))], 0
+        key = np.unique(np.concatenate(found))
+        if not len(key):
             return []
-        item, doc = self.words.doc[place], words.doc[at]
+        pair, shift = np.divmod(key, words.n + self.words.n + 1)
+        doc, item = np.divmod(pair, len(self.ids))
         # where the item's first word would stand
-        begin = at - (place - self.words.first[item])
-        doc, item, begin = np.unique(np.stack([doc, item, begin], 1), axis=0).T
+        begin = shift - self.words.n + self.words.first[item]
         first, size = self.words.first[item], self.words.counts[item]
         lo, hi = np.maximum(begin, words.first[doc]), np.minimum(begin + size, words.first[doc + 1])
         shift, need, out = first - begin, np.minimum(LEAST, size), []
@@ -140,7 +204,7 @@ class Index:
                     inside = int(own[start:stop].sum())
                     if inside >= need[i]:
                         out.append((int(doc[i]), int(self.ids[item[i]]), base + start, base + stop, inside))
-        return out
+        return list(dict.fromkeys(out))
 
 
 def _whole(texts: list[str]) -> list[tuple[int, Words]]:

@@ -2,6 +2,7 @@ import base64
 import random
 import re
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -9,6 +10,7 @@ import tiktoken
 
 from siemloom.llm import byte_bpe, decontaminate, licences
 from siemloom.llm.licences import BASE, TEMPLATES
+from siemloom.llm.words import NON_ALNUM, Words, text_bytes
 from tests.llm.cases import frame, odd_rows
 
 ALPHABET = "ab   e'tsél²́x\x1c\x85　\n\t日本1２_-!?\U0001f600"
@@ -133,6 +135,33 @@ def test_decontaminate_equals_all_alignments(spark):
     assert left == {i for i, *_ in rows} - {x[0] for x in want}
 
 
+def test_repetitive_texts_meet_every_alignment_once(monkeypatch):
+    r = random.Random(4)
+    periods = ["x", "x y", "a b c", "x x y", "x x x x x x x x z"]
+    items = [" ".join((p.split() * 60)[:n]) for p in periods for n in (1, 5, 6, 13, 14, 31)] + [" ".join(r.choice("xy") for _ in range(n)) for n in (13, 25, 40)]
+    texts = [" ".join((p.split() * 60)[:n]) for p in periods for n in (4, 12, 13, 50)] + [" ".join(r.choice("xy") for _ in range(60)) for _ in range(4)]
+    texts += ["", "x " * 20 + "y x " * 12 + "a b c " * 9 + "x " * 15]
+    want = {(d, k, *o) for d, t in enumerate(texts) for k, u in enumerate(items) for o in overlapping(t.split(), u.split())}
+    index = decontaminate.Index(np.arange(len(items)), items)
+    data, offsets = text_bytes(pa.array(texts))
+    words = Words(data, offsets, NON_ALNUM, lower=True)
+    for cells in (7, 1 << 20):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        got = index.overlaps(words)
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_long_repetitive_texts_stay_small():
+    """One word 20,000 times and an item of it 200 times: 28 million pairs of places, but only an alignment for each shift."""
+    index = decontaminate.Index(np.arange(2), ["x " * 200, "a b c " * 70])
+    data, offsets = text_bytes(pa.array(["x " * 20_000, "a b c " * 5_000]))
+    words = Words(data, offsets, NON_ALNUM, lower=True)
+    keys = [len(k) for seed in decontaminate.seeds(words) for k in index._alignments(words, *seed)]
+    assert sum(keys) < len(decontaminate.MASKS) * 30_000
+    got = index.overlaps(words)
+    assert sum(d == 0 and k == 0 for d, k, *_ in got) == 20_000 + 200 - 1 - 2 * (decontaminate.LEAST - 1)
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     bench = spark.createDataFrame([(k, " ".join(f"u{k}x{j}" for j in range(20))) for k in range(5)], "item_id long, text string")
