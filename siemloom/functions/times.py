@@ -17,38 +17,61 @@ NAIVE_SHAPES = [
     f"0000-00-00{sep}00:00:00{fraction}" for sep in ("T", " ") for fraction in ("", ".000", ".000000")
 ]
 PLAIN_SHAPES = NAIVE_SHAPES + [shape + "+00:00" for shape in NAIVE_SHAPES]
-# date, then h, m, s, fraction in extended or basic form, then an offset
-ISO_PATTERN = (
-    r"^(\d{4}-\d{2}-\d{2}|\d{8})"
-    r"(?:[\s\S](\d{2})"
-    r"(?:(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)|(?:(\d{2})(?:(\d{2})(?:[.,](\d+))?)?))?"
-    r"([+-]\d{2}(?::?\d{2})?)?)?$"
+# hours, then minutes, seconds and their fraction in extended or basic form
+CLOCK = r"\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{2}(?:\d{2}(?:[.,]\d+)?)?)?"
+# Any character may stand between date and clock. What follows a week tells whether its next digit is a day: in the extended form if it is
+# no clock's first digit, in the basic form by the number of digits in a row, as a clock's come in pairs.
+DATE = (
+    r"\d{4}-\d{2}-\d{2}|\d{8}"
+    r"|\d{4}-W\d{2}-\d(?!\d)|\d{4}-W\d{2}"
+    r"|\d{4}W\d{3}(?=(?:\d(?:\d\d)*)?(?!\d))|\d{4}W\d{2}(?=(?:\d{3}(?:\d\d)*)?(?!\d))"
 )
+ISO_PATTERN = rf"^({DATE})(?:[\s\S]({CLOCK})([+-]{CLOCK})?)?\z"
+LAST_DAY = 2_932_896  # 9999-12-31
+
+
+def _day_of_date(digits: Column) -> Column:
+    """Day number of yyyymmdd; NULL when there is no such day."""
+    return F.unix_date(F.concat_ws("-", digits.substr(1, 4), digits.substr(5, 2), digits.substr(7, 2)).try_cast("date"))
+
+
+def _day_of_week_date(digits: Column) -> Column:
+    """Day number of year, week and day of the week (Monday, 1, if none); NULL when there is no such day.
+
+    Week 1 holds January 4th; a week belongs to the year of its Thursday.
+    """
+    fourth = F.concat(digits.substr(1, 4), F.lit("-01-04")).try_cast("date")
+    week, day = digits.substr(5, 2).try_cast("int"), F.coalesce(digits.substr(7, 1).try_cast("int"), F.lit(1))
+    monday = F.unix_date(fourth) - F.weekday(fourth) + (week - 1) * 7
+    found = monday + day - 1
+    of_year = F.year(F.date_from_unix_date(monday + 3)) == digits.substr(1, 4).try_cast("int")
+    return F.when((week > 0) & of_year & day.between(1, 7) & (found <= LAST_DAY), found)
 
 
 def _ms_of_parts(parts: Column) -> Column:
-    """Milliseconds of the text parts [date, h, m, s, fraction, offset]; NULL when out of range."""
-    def part(i: int) -> Column:
-        return F.get(parts, F.lit(i))
-
-    def num(i: int) -> Column:
-        return F.coalesce(part(i).try_cast("int"), F.lit(0))
-
-    digits = F.replace(part(0), F.lit("-"), F.lit(""))
-    day = F.unix_date(
-        F.concat_ws("-", digits.substr(1, 4), digits.substr(5, 2), digits.substr(7, 2)).try_cast("date"))
-    offset = F.replace(part(5), F.lit(":"), F.lit(""))
-    offset_h = F.coalesce(offset.substr(2, 2).try_cast("int"), F.lit(0))
-    offset_m = F.coalesce(offset.substr(4, 2).try_cast("int"), F.lit(0))
-    sign = F.when(offset.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    millis = F.rpad(part(4).substr(1, 3), 3, "0").try_cast("int")
-    of_day = num(1) * 3_600_000 + num(2) * 60_000 + num(3) * 1_000 + F.coalesce(millis, F.lit(0))
+    """Milliseconds of the text parts [date, clock, offset]; NULL when out of range."""
+    def clock(i: int, sign: int) -> tuple[Column, Column, Column, Column]:
+        """Hours, minutes, seconds, microseconds; after the sign, if there is one."""
+        text = F.replace(F.get(parts, F.lit(i)), F.lit(":"), F.lit(""))
+        whole = [F.coalesce(text.substr(sign + k, 2).try_cast("bigint"), F.lit(0)) for k in (1, 3, 5)]
+        return *whole, F.coalesce(F.rpad(text.substr(sign + 8, 6), 6, "0").try_cast("bigint"), F.lit(0))
+
+    def micros(h: Column, m: Column, s: Column, fraction: Column) -> Column:
+        return ((h * 60 + m) * 60 + s) * 1_000_000 + fraction
+
+    date = F.get(parts, F.lit(0))
+    digits = F.translate(date, "-W", "")
+    day = F.when(date.contains("W"), _day_of_week_date(digits)).otherwise(_day_of_date(digits))
+    time, offset = clock(1, 0), clock(2, 1)
+    # an offset of less than a second is none
+    ahead = F.when(micros(*offset) >= 1_000_000, micros(*offset)).otherwise(F.lit(0))
+    sign = F.when(F.get(parts, F.lit(2)).startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     in_range = (
-        (num(1) < 24) & (num(2) < 60) & (num(3) < 60) & (offset_h < 24) & (offset_m < 60)
+        (time[0] < 24) & (time[1] < 60) & (time[2] < 60) & (ahead < DAY_MS * 1000)
         & (digits.substr(1, 4) != "0000")
     )
-    return F.when(
-        in_range, day.cast("bigint") * DAY_MS + of_day - sign * (offset_h * 60 + offset_m) * 60_000)
+    total = day.cast("bigint") * (DAY_MS * 1000) + micros(*time) - sign * ahead
+    return F.when(in_range, F.call_function("div", total - F.pmod(total, F.lit(1000)), F.lit(1000)))
 
 
 def _iso_by_parts(s: Column) -> Column:
@@ -57,16 +80,13 @@ def _iso_by_parts(s: Column) -> Column:
     The rare path: the parts are bound once by ``transform`` so that they are
     neither computed per use nor repeated in the generated code.
     """
-    parts = F.split(F.regexp_replace(s, ISO_PATTERN, "$1|$2|$3$6|$4$7|$5$8|$9"), r"\|")
+    parts = F.split(F.regexp_replace(s, ISO_PATTERN, "$1|$2|$3"), r"\|")
     bound = F.get(F.transform(F.array(parts), _ms_of_parts), F.lit(0))
     return F.when(s.rlike(ISO_PATTERN), bound)
 
 
 def iso_ms(s: Column) -> Column:
-    """Epoch milliseconds of an ISO-8601 text (naive texts are UTC), NULL when it is none.
-
-    Week dates and offsets with seconds are not supported.
-    """
+    """Epoch milliseconds of an ISO-8601 text (naive texts are UTC), NULL when it is none."""
     utc = F.replace(s, F.lit("Z"), F.lit("+00:00"))
     shape = F.translate(utc, "0123456789", "0000000000")
     zoned = F.when(shape.isin(NAIVE_SHAPES), F.concat(utc, F.lit("+00:00"))).otherwise(utc)
