@@ -19,11 +19,11 @@ def _padded(secret_hex: Column, byte: int) -> Column:
             F.hex(F.conv(block.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("bigint").bitwiseXOR(F.lit(byte).cast("bigint"))),
             2, "0"),
     )
-    return F.unhex(F.array_join(mixed, ""))
+    return F.when(secret_hex.isNotNull(), F.unhex(F.array_join(mixed, "")))
 
 
 def key_pads(secret: Column) -> tuple[Column, Column]:
-    """Inner and outer HMAC pads of a secret; compute them once per connector."""
+    """Inner and outer HMAC pads of a secret, NULL without one; compute them once per connector."""
     as_hex = F.when(
         F.octet_length(secret) > BLOCK, F.sha2(secret.cast("binary"), 256)).otherwise(F.hex(secret.cast("binary")))
     return _padded(as_hex, 0x36), _padded(as_hex, 0x5C)

@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 HOT_KEYS = 64        # heavy hitters looked for, also the bound on the broadcast set
 SALTS = 64           # pieces a heavy key is split into
 BROADCAST_ROWS = 100_000
-
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
+BROADCAST_BYTES = 64 << 20
+
+
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row."""
+    size = F.lit(0)
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        else:
+            complex_ = "<" in kind or kind == "variant"
+            size = size + (F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) if complex_ else 8)
+    return size
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``rows`` rows, of about ``size`` bytes in all; reads no more than that many rows."""
+    n, used = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(_bytes(df))).first()
+    return n <= rows and (used or 0) <= size
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:

@@ -336,6 +336,19 @@ b AS (SELECT *, {detected()} AS vendor, {_payload_errors()} AS perr FROM a),
 i AS (SELECT *, CASE WHEN auth = 'connector_not_found' THEN 'CONNECTOR_NOT_FOUND' WHEN auth <> 'secret' THEN 'UNAUTHORIZED' WHEN NOT ok THEN 'INVALID_JSON'
     WHEN perr <> '' THEN 'SCHEMA_VALIDATION_FAILED' WHEN vendor = 'unknown' THEN 'NORMALIZATION_FAILED'
     WHEN NOT {dispatched('has_actor')} THEN 'OCSF_VALIDATION_FAILED' ELSE 'VALID' END AS outcome FROM b) """
+
+
+def _pad(byte: int) -> str:
+    """A secret of at most 64 ASCII letters as a block, each byte XOR-ed."""
+    return f"unhex(array_to_string(list_transform(range(1, 65), lambda i: printf('%02x', xor(CASE WHEN i <= length(secret) THEN ascii(secret[i]) ELSE 0 END, {byte}))), ''))"
+
+
+def _signature(body: str) -> str:
+    return f"CASE WHEN raw_body IS NOT NULL THEN sha256(opad || unhex(sha256(ipad || encode({body})))) END"
+
+
+SIGNED = DELIVERIES[:-1] + f""", k AS (SELECT id, is_active, {_pad(0x36)} AS ipad, {_pad(0x5C)} AS opad FROM connectors),
+s AS (SELECT * FROM deliveries d LEFT JOIN k ON k.id = d.connector_id) """
 HEALTH = """count(*) AS delivered, count(*) FILTER (outcome = 'VALID') AS valid_count,
   count(*) FILTER (outcome NOT IN ('VALID', 'UNAUTHORIZED')) AS invalid_count, count(*) FILTER (outcome = 'UNAUTHORIZED') AS auth_failures,
   count(*) FILTER (outcome NOT IN ('VALID', 'UNAUTHORIZED')) AS dlq_count"""
@@ -425,6 +438,10 @@ def all_oracles() -> dict[str, str]:
     typed += [f"CASE WHEN coalesce({ty(*k)}, '') <> 'VARCHAR' THEN '{'.'.join(k)}' END" for k in (("user", "name"), ("device", "ip"), ("actor", "user", "name"))]
     out = {
         "a2_batches": EV + "SELECT batch_id, count(*) <= 2000 AS accepted, count(*) AS n FROM (SELECT CAST(floor(sqrt(raw_log_id)) AS BIGINT) % 7 AS batch_id FROM ev) GROUP BY 1",
+        "a2_batch_job": DET[:-1] + f""", x AS (SELECT CASE WHEN raw_log_id % 3 = 0 THEN -1 ELSE raw_log_id // 1500 END AS batch_id, count(*) AS received,
+          count(*) FILTER ({GOOD}) AS good FROM d GROUP BY 1),
+          y AS (SELECT batch_id, received <= 2000 AS accepted, received, if(received <= 2000, received, 0) AS taken, if(received <= 2000, good, 0) AS good FROM x)
+          SELECT batch_id, accepted, received, good AS success_count, taken - good AS failure_count, taken AS raw_logs, good AS events, taken AS audit, taken - good AS dead_letters FROM y""",
         "a3_raw_logs": DET + "SELECT coalesce(vendor, 'unknown') AS vendor_source, strftime(make_timestamp(received_at_ms * 1000), '%Y-%m-%d') AS day, count(*) AS n FROM d GROUP BY 1, 2",
         "a4_normalized_events": DET + f"SELECT raw_log_id, 3002 AS class_uid, 3 AS category_uid, 1 AS activity_id, {dispatched('severity_id')} AS severity_id, {dispatched('time')} AS event_time_ms, {dispatched('src_ip')} AS src_ip, strftime(make_timestamp(({dispatched('time')}) * 1000), '%Y-%m-%d') AS day FROM d WHERE {GOOD}",
         "a5_audit": DET + f"SELECT raw_log_id, coalesce(vendor, 'unknown') AS vendor, CASE WHEN NOT coalesce({GOOD}, false) THEN 'FAILED' WHEN NOT {dispatched('has_actor')} THEN 'VALIDATION_ERROR' ELSE 'SUCCESS' END AS status, CASE WHEN NOT coalesce({GOOD}, false) THEN {ERROR} WHEN NOT {dispatched('has_actor')} THEN 'Class 3002 (Authentication) missing ''user'' or ''actor'' context' END AS error_message FROM d",
@@ -495,6 +512,9 @@ def all_oracles() -> dict[str, str]:
         "w2_list": conn_ctes + "SELECT id, name, hmac_enabled, is_active FROM old",
         "w3_delete": conn_ctes + "SELECT id, name FROM old WHERE id NOT IN (SELECT id FROM req)",
         "w4_connector_lookup": DELIVERIES + "SELECT delivery_id, connector_id IN (SELECT id FROM connectors) AS known FROM deliveries",
+        "f34_hmac_sign": SIGNED + f"SELECT delivery_id, {_signature('raw_body')} AS signature FROM s",
+        "w5_authenticate_hmac": SIGNED + f"""SELECT delivery_id, CASE WHEN ipad IS NULL THEN 'connector_not_found' WHEN NOT is_active THEN 'connector_inactive'
+          WHEN {_signature("concat(raw_body, CASE delivery_id % 3 WHEN 2 THEN ' ' ELSE '' END)")} = {_signature('raw_body')} THEN 'hmac' ELSE 'unauthorized' END AS auth FROM s""",
         "w5_authenticate": INGEST + "SELECT delivery_id, auth FROM i", "w6_json": INGEST + "SELECT delivery_id, ok AS is_json FROM i",
         "w7_ingest": INGEST + f"SELECT delivery_id, outcome, CASE outcome WHEN 'INVALID_JSON' THEN 'invalid JSON' WHEN 'SCHEMA_VALIDATION_FAILED' THEN perr WHEN 'NORMALIZATION_FAILED' THEN concat('{X.MSG_UNKNOWN_VENDOR}', raw_body) WHEN 'OCSF_VALIDATION_FAILED' THEN 'Class 3002 (Authentication) missing ''user'' or ''actor'' context' END AS errors, CASE WHEN outcome = 'VALID' THEN {dispatched('time')} END AS time, CASE WHEN outcome = 'VALID' THEN {dispatched('status_id')} END AS status_id FROM i",
         "w8_health": INGEST + f"SELECT connector_id, {HEALTH}, {LATENCY} AS total_latency_ms FROM i WHERE outcome <> 'CONNECTOR_NOT_FOUND' GROUP BY 1",

@@ -68,3 +68,10 @@ def test_hmac(spark):
     df = spark.createDataFrame(cases, "k string, b string").select("k", "b", crypto.sign(F.col("k"), F.col("b")).alias("h"))
     for r in df.collect():
         assert r.h == hmac.new(r.k.encode(), r.b.encode(), hashlib.sha256).hexdigest()
+
+
+def test_no_secret_signs_nothing(spark):
+    df = spark.createDataFrame([(None, "body"), ("", "body"), ("k", None)], "k string, b string")
+    unset, empty, no_body = (r.h for r in df.select(crypto.sign(F.col("k"), F.col("b")).alias("h")).collect())
+    assert unset is None and no_body is None
+    assert empty == hmac.new(b"", b"body", hashlib.sha256).hexdigest()

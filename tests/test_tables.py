@@ -5,11 +5,12 @@ import random
 import tempfile
 from contextlib import redirect_stdout
 
+import pytest
 from pyspark.sql import functions as F
 
 from siemloom.functions import canonical, crypto
-from siemloom.operators import revalidate
-from siemloom.sources import files, tables
+from siemloom.operators import lookup, revalidate
+from siemloom.sources import batches, files, tables
 
 
 def plan(df, mode="formatted"):
@@ -116,3 +117,30 @@ def test_comparable_follows_equality(spark):
     form = lambda c: canonical.comparable(F.to_json(F.try_parse_json(c)))
     for r in df.select("*", (form("a") == form("b")).alias("got")).collect():
         assert r.got == r.same, r
+
+
+def test_batch_run_broken_off_is_not_seen_and_replaces_itself(spark, monkeypatch):
+    path = folder()
+    payload = F.concat(F.lit('{"event_type":"login","event_time":1704067200,"username":"u'), F.col("id"), F.lit('"}'))
+    spark.range(60).select(
+        F.col("id").alias("raw_log_id"), F.when(F.col("id") < 40, 1).when(F.col("id") < 55, 2).cast("bigint").alias("batch_id"),
+        F.when(F.col("id") % 10 > 0, payload).alias("raw_payload"), F.lit(1704067200000).alias("received_at_ms")).write.parquet(f"{path}/in")
+
+    def broken(*_):
+        raise OSError
+
+    with monkeypatch.context() as m:
+        m.setattr(files, "publish", broken)
+        with pytest.raises(OSError):
+            batches.run_batches(spark, f"{path}/in", f"{path}/out", 7, limit=20)
+    with pytest.raises(FileNotFoundError):
+        batches.read_sink(spark, f"{path}/out", "events")
+    got = {r.batch_id: r[1:] for r in batches.run_batches(spark, f"{path}/in", f"{path}/out", 7, limit=20).collect()}
+    assert got == {1: (False, 40, 0, 0), 2: (True, 15, 13, 2), None: (False, 5, 0, 0)}
+    assert [batches.read_sink(spark, f"{path}/out", s).count() for s in batches.SINKS] == [15, 13, 15, 2]
+
+
+def test_broadcast_only_of_few_bytes(spark):
+    df = spark.range(50).select("id", F.expr("repeat('x', 1000)").alias("secret"), F.array("id").alias("ids"))
+    assert lookup.fits_broadcast(df) and lookup.fits_broadcast(df.limit(0))
+    assert not lookup.fits_broadcast(df, rows=49) and not lookup.fits_broadcast(df, size=40_000)
