@@ -44,11 +44,11 @@ def _classes(m: Column) -> list[Column]:
 
 
 def event_errors(m: Column, profile: str = "v2") -> Column:
-    """Errors of a whole event; ``profile`` is v2, legacy (no object checks) or revalidation (fields only)."""
-    errors = _mandatory(m)
-    if profile == "v2":
+    """Errors of a whole event; ``profile`` is v2, legacy (no object checks), revalidation (fields only) or objects (their checks only)."""
+    errors = [] if profile == "objects" else _mandatory(m)
+    if profile in ("v2", "objects"):
         errors += _objects(m)
-    if profile != "revalidation":
+    if profile in ("v2", "legacy"):
         errors += _classes(m)
     return V.compact(*errors)
 

@@ -305,13 +305,15 @@ def _event_errors(profile: str) -> str:
     errors = [f"CASE WHEN {t(f)} IS NULL THEN 'Missing mandatory OCSF field: ''{f}''' END" for f in X.MANDATORY_FIELDS]
     number = "('UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN')"
     errors.append(f"CASE WHEN {t('time')} IS NOT NULL AND {ty('time')} NOT IN {number} THEN concat('Invalid ''time'' type: Expected numeric timestamp, got ', {names.format(k=ty('time'))}) END")
-    if profile == "v2":
+    if profile == "objects":
+        errors = []
+    if profile in ("v2", "objects"):
         for f in X.OBJECT_FIELDS:
             errors.append(f"CASE WHEN {t(f)} IS NOT NULL AND {ty(f)} <> 'OBJECT' THEN concat('Invalid ''{f}'': Expected object/dict, got ', {names.format(k=ty(f))}) END")
             for n, expected in X.INNER_TYPES.get(f, []):
                 good = f"{ty(f, n)} = 'VARCHAR'" if expected == "string" else f"{ty(f, n)} IN {number}"
                 errors.append(f"CASE WHEN {t(f, n)} IS NOT NULL AND NOT ({good}) THEN concat('Invalid ''{f}.{n}'': Expected {expected}, got ', {names.format(k=ty(f, n))}) END")
-    if profile != "revalidation":
+    if profile in ("v2", "legacy"):
         for f in ("src_endpoint", "dst_endpoint"):
             errors.append(f"CASE WHEN {t('class_uid')} = '4001' AND NOT {has(f)} THEN 'Class 4001 (Network Activity) missing ''{f}''' END")
         errors.append(f"CASE WHEN {t('class_uid')} = '3002' AND NOT {any_of(['user', 'actor'])} THEN 'Class 3002 (Authentication) missing ''user'' or ''actor'' context' END")
@@ -504,7 +506,7 @@ def all_oracles() -> dict[str, str]:
         "t5_template": on_all(ASSETS, class_uid="1001", user_name=t("TargetUserName"), ip=t("IpAddress"), port=t("IpPort"), actor=t("SubjectUserName")),
         "t6_typed_model": on_all(CANDIDATES, errors=f"concat_ws(';', {', '.join(typed)})"),
         "t7_typed_event": on_all(CANDIDATES, class_uid=f"coalesce({whole(t('class_uid'))}, 3001)", category_uid=f"coalesce({whole(t('category_uid'))}, 3)", activity_id="1", severity_id="1", status_id="99", time=f"CASE WHEN {t('time')} = 'true' THEN 1 ELSE {whole(t('time'))} END"),
-        **{q: CANDIDATES + f"SELECT raw_log_id, {_event_errors(pr)} = '' AS is_valid, {_event_errors(pr)} AS errors FROM ev" for q, pr in {"v1_validate": "v2", "v3_validate_legacy": "legacy", "v4_validate_revalidation": "revalidation"}.items()},
+        **{q: CANDIDATES + f"SELECT raw_log_id, {_event_errors(pr)} = '' AS is_valid, {_event_errors(pr)} AS errors FROM ev" for q, pr in {"v1_validate": "v2", "v2_object_checks": "objects", "v3_validate_legacy": "legacy", "v4_validate_revalidation": "revalidation"}.items()},
         "v5_webhook_payload": INGEST + "SELECT delivery_id, CASE WHEN ok THEN perr END AS errors FROM i",
         "v6_readable_time": on_all(**{k: f"coalesce(regexp_full_match({t(k)}, '-*[0-9]+') OR {iso(t(k))} IS NOT NULL, false)" for k in ("event_time", "TimeGenerated", "action")}),
         "v7_split": DET + f"SELECT raw_log_id, CASE WHEN coalesce({GOOD} AND {dispatched('has_actor')}, false) THEN 'valid' ELSE 'dead' END AS side FROM d",

@@ -667,7 +667,7 @@ def all_queries() -> dict[str, Query]:
         "t1_transform": _transform("v2"), "t2_transform_legacy": _transform("legacy"), "t3_not_dict": t3_not_dict,
         "t4_spec_splunk": T4S, "t4_spec_asim_network": T4A, "t4_spec_ecs": T4E, "t5_template": t5_template,
         "t6_typed_model": t6_typed, "t7_typed_event": t7_typed_event,
-        "v1_validate": _validate("v2"), "v3_validate_legacy": _validate("legacy"), "v4_validate_revalidation": _validate("revalidation"),
+        "v1_validate": _validate("v2"), "v2_object_checks": _validate("objects"), "v3_validate_legacy": _validate("legacy"), "v4_validate_revalidation": _validate("revalidation"),
         "v5_webhook_payload": v5_payload, "v6_readable_time": V6, "v7_split": v7_split,
         "w1_register": w1_register, "w2_list": w2_listed, "w3_delete": w3_delete, "w4_connector_lookup": w4_lookup,
         "w5_authenticate": w5_auth, "w5_authenticate_hmac": w5_auth_hmac, "w6_json": w6_json, "w7_ingest": w7_ingest,
