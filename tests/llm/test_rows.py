@@ -193,3 +193,16 @@ def test_topk_large_components_and_repeated_queries(spark):
     lists = {q: [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (20, 40)}
     assert lists[20] == [(1, 1, big), (2, 2, big), (3, 4, 64 * 10**9 * 64 + 64 * 64)]
     assert lists[40] == [(1, 2, 64 * 10**9 * 32 + 192 * 16), (2, 1, 64 * 10**9 * 32 + 128 * 16), (3, 20, 64 * 10**9 * 32 + 64 * 16)]
+
+
+def test_topk_repeated_rows_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(block_topk, "CHUNK", 40)
+    monkeypatch.setattr(block_topk, "MEET", 3)
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.integers(-8, 9, 4) / 4]) for i in range(160)]
+    rows += [rows[7]] * 9 + [rows[33]] * 2  # more and fewer than k
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = block_topk.top_k(block_topk.integer_vectors(df, "vec_id", "embedding"), F.col("id") % 20 == 0, 5).collect()
+    v = [(i, np.floor(64 * np.array(x)).astype(int)) for i, x in rows]
+    want = [(q, k + 1, c, -s) for q, x in v if q % 20 == 0 for k, (s, c) in enumerate(sorted((-int(x @ y), c) for c, y in v if c != q)[:5])]
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == sorted(want)
