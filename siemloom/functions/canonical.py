@@ -1,18 +1,22 @@
-"""Canonical forms of JSON texts, from built-in functions: one for equality, one to be hashed.
+"""Canonical forms of JSON texts: one for equality, from built-in functions, one to be hashed, from the standard library.
 
-A JSON text is cut into its tokens (strings, numbers, words, punctuation), each is rewritten on its own, and they are put together
-again. So values are reached at every depth without recursion. Both start from the text of a VARIANT, whose keys are sorted.
+For equality, the text of a VARIANT, whose keys are sorted, is cut into its tokens (strings, numbers, words, punctuation), each is rewritten
+on its own, and they are put together again. So values are reached at every depth without recursion.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKENS = r'("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null|[\[\]{},:])'
+# Possessive: a long string takes no stack.
+_TOKENS = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|true|false|null|[\[\]{},:])'
 _HIGH = float(1 << 62)
+_SPACE = re.compile(r"[ \t\n\r]*")
+_LONG_NUMBER = re.compile(r"[0-9]{1001}")
 
 
 def tokens(text: Column) -> Column:
@@ -47,107 +51,32 @@ def comparable(text: Column) -> Column:
 
 
 # ------------------------------------------------------------------- to be hashed
-# Floating numbers and long integers go through the parser as strings behind a mark, a character of private use; so do strings that start with one.
-_FLOAT, _LONG, _TEXT = "\ue0f0", "\ue0f1", "\ue0f2"
+def _members(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    members = dict(pairs)
+    if len(members) < len(pairs):
+        raise ValueError("a key repeats")
+    return members
 
 
-def _kept(t: Column) -> Column:
-    return (
-        F.when(t.rlike(r"^-?[0-9]+$") & (F.length(t) > 18), F.concat(F.lit(f'"{_LONG}'), t, F.lit('"')))
-        .when(t.rlike(r"^-?[0-9].*[.eE]"), F.concat(F.lit(f'"{_FLOAT}'), t, F.lit('"')))
-        .when(t.rlike(rf'(?i)^"([{_FLOAT}-{_TEXT}]|\\ue0f[0-2])'), F.concat(F.lit(f'"{_TEXT}'), t.substr(F.lit(2), F.length(t))))
-        .otherwise(t)
-    )
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed, and standing in the plan, once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _shortest(d: Column) -> Column:
-    """Fewest digits that give a positive double back, as d.ddde+x. The engine's own texts of large doubles are not exact, so their digits are counted out."""
-
-    def written(n: int) -> Column:
-        return F.format_string(f"%.{n - 1}e", d)
-
-    def cut(whole: Column, n: int) -> Column:
-        head = (whole.substr(1, n).cast("bigint") + (whole.substr(n + 1, 1) >= "5").cast("bigint")).cast("string")
-        return _let(head, lambda h: F.concat(h.substr(1, 1), F.lit("."), h.substr(2, n), F.lit("e+"), (F.length(whole) + F.length(h) - n - 1).cast("string")))
-
-    def first_exact(texts: list[Column]) -> Column:
-        return F.get(F.filter(F.array(*texts), lambda t: t.try_cast("double") == d), F.lit(0))
-
-    large = _let(exact_whole(d), lambda whole: first_exact([cut(whole, n) for n in (15, 16, 17)]))
-    return (
-        F.when(d < 1e-300, first_exact([written(n) for n in range(1, 18)]))  # near zero, few digits tell numbers apart
-        .when((d >= 1e17) & (d < float(1 << 124)), large)
-        .otherwise(first_exact([written(n) for n in (15, 16, 17)]))
-    )
-
-
-def _python_form(s: Column) -> Column:
-    """d.ddde+x as a fixed number from 1e-4 to below 1e16, else with an exponent of two digits at least."""
-    mantissa, power = F.split_part(s, F.lit("e"), F.lit(1)), F.split_part(s, F.lit("e"), F.lit(2)).cast("int")
-
-    def form(parts: Column) -> Column:
-        digits, exponent = parts["digits"], parts["exponent"]
-        n, point = F.length(digits), exponent + 1
-        rest = F.when(n > 1, F.concat(F.lit("."), digits.substr(F.lit(2), n))).otherwise(F.lit(""))
-        size = F.abs(exponent).cast("string")
-        scientific = F.concat(
-            digits.substr(1, 1), rest, F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.length(size) < 2, F.lit("0")).otherwise(F.lit("")), size)
-        fixed = (
-            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-            .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
-            .otherwise(F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, n)))
-        )
-        return F.when((exponent < -4) | (exponent >= 16), scientific).otherwise(fixed)
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
 
-    return _let(F.struct(F.rtrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0")).alias("digits"), power.alias("exponent")), form)
 
+_DECODER = json.JSONDecoder(object_pairs_hook=_members, parse_constant=_no_constant)
+_ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"))
 
-def float_form(text: Column) -> Column:
-    """The shortest form of a double."""
 
-    def form(d: Column) -> Column:
-        return F.when(d == 0, F.lit("0.0")).when(d == float("inf"), F.lit("Infinity")).otherwise(_let(_shortest(d), _python_form))
+def hashable(text: str | None) -> str | None:
+    """A JSON text in ASCII with sorted keys, without spaces, floating numbers in their shortest form; None when it is invalid.
 
-    return F.concat(F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")), _let(F.abs(text.try_cast("double")), form))
-
-
-def _escaped(t: Column) -> Column:
-    """A string token in ASCII: other characters as escapes of their UTF-16 units, hexadecimal digits in lower case."""
-
-    def escape(c: Column) -> Column:
-        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
-        pair = F.concat(F.lit("\\u"), units.substr(1, 4), F.lit("\\u"), units.substr(5, 4))
-        return F.when((F.octet_length(c) == 1) & (c != "\x7f"), c).when(F.length(units) == 4, F.concat(F.lit("\\u"), units)).otherwise(pair)
-
-    def lowered(plain: Column) -> Column:
-        units = F.regexp_extract_all(plain, F.lit(r"(\\u[0-9a-fA-F]{4}|\\.|[^\\])"), F.lit(1))
-        joined = F.array_join(F.transform(units, lambda u: F.when(u.startswith("\\u"), F.lower(u)).otherwise(u)), "")
-        return F.when(plain.contains("\\u00"), joined).otherwise(plain)
-
-    # The writer's own escapes of control characters have capitals.
-    return _let(F.when(t.rlike(r"[^\x00-\x7e]"), F.array_join(F.transform(F.split(t, ""), escape), "")).otherwise(t), lowered)
-
-
-def _form(t: Column) -> Column:
-    own = F.btrim(t, F.lit('"'))
-    return (
-        F.when(~t.startswith('"'), t)
-        .when(t.startswith(f'"{_LONG}'), own.substr(F.lit(2), F.length(own)))
-        .when(t.startswith(f'"{_FLOAT}'), float_form(own.substr(F.lit(2), F.length(own))))
-        .otherwise(_escaped(F.when(t.startswith(f'"{_TEXT}'), F.concat(F.lit('"'), t.substr(F.lit(3), F.length(t)))).otherwise(t)))
-    )
-
-
-def rewritten(text: Column) -> Column:
-    """First step of :func:`hashable`, in a projection of its own: the text as a VARIANT in which no number loses its form."""
-    return F.try_parse_json(F.array_join(F.transform(tokens(text), _kept), ""))
-
-
-def hashable(rewritten_value: Column) -> Column:
-    """JSON in ASCII with sorted keys, without spaces, numbers as in the source (floating ones in their shortest form)."""
-    return F.array_join(F.transform(tokens(F.to_json(rewritten_value)), _form), "")
+    Keys that repeat within an object and numbers of more than 1,000 digits are invalid. What follows an object, an array or a string is not read.
+    """
+    if text is None or len(text) > 1000 and _LONG_NUMBER.search(text):
+        return None
+    try:
+        value, end = _DECODER.raw_decode(text, _SPACE.match(text).end())
+        if end < len(text) and not isinstance(value, (dict, list, str)) and _SPACE.match(text, end).end() < len(text):
+            return None
+        return _ENCODER.encode(value)
+    except (ValueError, RecursionError):
+        return None

@@ -9,7 +9,7 @@ from siemloom import fixed_values as X
 from siemloom.functions import canonical, crypto
 from siemloom.functions import values as V
 from siemloom.operators import lookup, validate
-from siemloom.sources import tables
+from siemloom.sources import files, tables
 
 
 def key_is_bad(key: Column) -> Column:
@@ -38,11 +38,12 @@ def resolve(requests: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     The first request of a key, in arrival order, makes the run unless ``runs``
     already holds it; later ones are compared with that run's hash.  Keys are
     reduced to their first request before anything is shuffled, and the way
-    back splits heavy keys.
+    back splits heavy keys.  Requests are checked and hashed once, into a table
+    in the shared folder, as three branches and every use of the result read them.
     """
-    df = validate_requests(requests).withColumn(
+    df = files.written(validate_requests(requests).withColumn(
         "request_hash",
-        crypto.request_hash(F.col("event_id"), F.col("original_event"), F.col("updated_event")))
+        crypto.request_hash(F.col("event_id"), F.col("original_event"), F.col("updated_event"))), "requests")
     good = df.filter(~key_is_bad(F.col("idempotency_key")))
     claims = lookup.first_claims(good, "idempotency_key", "arrival_seq", RUN_COLUMNS)
     if runs is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siemloom.functions import canonical, crypto
 from siemloom.operators import lookup, revalidate
-from siemloom.sources import batches, files, tables
+from siemloom.sources import batches, derived, files, tables
 
 
 def plan(df, mode="formatted"):
@@ -144,3 +144,21 @@ def test_broadcast_only_of_few_bytes(spark):
     df = spark.range(50).select("id", F.expr("repeat('x', 1000)").alias("secret"), F.array("id").alias("ids"))
     assert lookup.fits_broadcast(df) and lookup.fits_broadcast(df.limit(0))
     assert not lookup.fits_broadcast(df, rows=49) and not lookup.fits_broadcast(df, size=40_000)
+
+
+def test_request_hash_of_long_texts_and_of_invalid_ones(spark):
+    long = json.dumps({"z": "é" * 200_000, "a": [0.5] * 3})
+    cases = {long: json.loads(long), '{"a":5e-1,"b":2.0}': {"a": 0.5, "b": 2.0}, '{"a":1,"a":2}': None, '{"a":NaN}': None, "01.5": None, "1 2": None, "1" * 1001: None, "": None, None: None}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r.t: r.h for r in df.select("t", crypto.request_hash(F.lit("e"), F.col("t"), F.lit("{")).alias("h")).collect()}
+    for t, v in cases.items():
+        body = json.dumps({"event_id": "e", "original_event": v, "event": None}, sort_keys=True, separators=(",", ":"))
+        assert got[t] == hashlib.sha256(body.encode()).hexdigest(), t
+
+
+def test_events_are_dealt_out_and_requests_hashed_once(spark):
+    events = derived.events(spark, "/root/testdata/sf0.001")
+    assert events.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    assert events.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    resolved = revalidate.resolve(derived.revalidation_requests(spark, "/root/testdata/sf0.001"))
+    assert "request_hash(" not in resolved._jdf.queryExecution().optimizedPlan().toString()
