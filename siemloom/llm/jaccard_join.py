@@ -68,7 +68,7 @@ def _rows(table: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
-def _survey(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+def _survey(docs: DataFrame, n: int, tasks: int) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n_shingles and class of every document; counts of all shingles by cell."""
     kinds = {"doc_id": pa.int64(), "n": pa.int64(), "class": pa.int64(), "segment": pa.int32(), "cells": pa.binary()}
 
@@ -92,7 +92,7 @@ def _survey(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             total += np.frombuffer(c, np.uint32) if len(c) == 4 * len(total) else np.frombuffer(c, np.uint64)
         return pd.DataFrame({"segment": [rows.segment.iloc[0]], "cells": [zlib.compress(total.tobytes(), 1)]})
 
-    surveyed = cut(docs.mapInArrow(run, "doc_id long, n long, class long, segment int, cells binary"))
+    surveyed = cut(docs.mapInArrow(run, "doc_id long, n long, class long, segment int, cells binary"), tasks)
     cells = surveyed.where("segment IS NOT NULL").select("segment", "cells", F.expr("uuid()").alias("u"))
     cells = cells.withColumn("salt", F.pmod(F.xxhash64("cells"), F.lit(16)))
     partly = cells.groupBy("segment", "salt").applyInPandas(add, "segment int, cells binary")
@@ -243,21 +243,22 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     small_batches(spark, 1500)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    groups = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // GROUP_BYTES + 1))
-    surveyed, counts = _survey(docs, n)
+    tasks = int(size // GROUP_BYTES + 1)
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks)
+    surveyed, counts = _survey(docs, n, tasks)
     cells = spark.sparkContext.broadcast(counts)
     reps = surveyed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"))
     active = _meetings(docs, cells, n, percent, groups).join(reps, "class")
-    active = cut(active)
+    active = cut(active, tasks)
     # blocks: classes by the shingle that they share with the most, dealt by hash where there are many
     many = active.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     placed = active.join(many, "near").withColumn("block", F.xxhash64("near", F.pmod(F.xxhash64("class"), "parts"))).drop("near", "parts")
-    placed = cut(placed)
+    placed = cut(placed, tasks)
     at = placed.select("class", "block", "l", F.explode("shared.value").alias("value"))
     held = at.groupBy("value", F.col("block").alias("other")).agg(F.min("l").alias("other_l"))
     visits = at.join(held, "value").where("block > other").groupBy("class", "other").agg(
         F.count(F.lit(1)).alias("n"), F.min("l").alias("l"), F.min("other_l").alias("other_l")).where("n >= least(l, other_l)").select("class", F.col("other").alias("block"))
-    visits = cut(visits)
+    visits = cut(visits, tasks)
     parts = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / VISITORS).alias("parts"))
     alone = placed.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
     own = placed.select("class", "block").join(alone, "block").join(parts, "block", "left").where("members > 1 OR parts IS NOT NULL")
@@ -272,8 +273,8 @@ def similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     sent = _sets_on_their_ways(docs, placed.drop("block").join(ways, "class"), n)
-    edges = cut(sent.groupBy("block", "part").applyInPandas(meet, "a long, b long"))
-    roots = components(edges).withColumnRenamed("node", "class")
+    edges = cut(sent.groupBy("block", "part").applyInPandas(meet, "a long, b long"), tasks)
+    roots = components(edges, tasks).withColumnRenamed("node", "class")
     least = roots.join(reps, "class").groupBy("root").agg(F.min("rep").alias("least"))
     classes = reps.join(roots.join(least, "root"), "class", "left").select("class", F.coalesce("least", "rep").alias("component_id"))
     full = surveyed.where("n > 0").join(classes, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

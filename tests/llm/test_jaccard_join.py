@@ -2,6 +2,7 @@ import itertools
 
 import pytest
 
+from siemloom.llm import components, jaccard_join
 from siemloom.llm.jaccard_join import similar
 from tests.llm.cases import frame, odd_rows
 
@@ -51,3 +52,36 @@ def test_texts_that_share_an_id(spark):
         assert sorted(map(tuple, similar(docs, 3, 90).collect())) == want
     alone = spark.createDataFrame([(1, "")], "doc_id long, text string")
     assert [tuple(r) for r in similar(alone, 3, 90).collect()] == [(1, 0, 1)]
+
+
+def test_few_rows_in_many_partitions(spark, monkeypatch):
+    """Checkpoints of few rows are few files, whatever the partitions; the rows are the same."""
+    files = []
+
+    class Frame:
+        def __init__(self, partitions):
+            self.sparkSession, self.partitions = spark, partitions
+
+        def coalesce(self, n):
+            return Frame(min(n, self.partitions))
+
+        def checkpoint(self):
+            files.append(self.partitions)
+
+    for tasks in (None, 1, 100):
+        components.cut(Frame(211), tasks)
+    least = components.TASKS * spark.sparkContext.defaultParallelism
+    assert files == [211, least, max(100, least)]
+    asked, cut = [], components.cut
+
+    def counted(df, tasks=None):
+        asked.append(tasks)
+        return cut(df, tasks)
+
+    monkeypatch.setattr(components, "TASKS", 1)
+    monkeypatch.setattr(components, "cut", counted)
+    monkeypatch.setattr(jaccard_join, "cut", counted)
+    rows = odd_rows(3, 40)
+    got = similar(frame(spark, rows).repartition(9), 3, 90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 90)
+    assert len(asked) > 5 and set(asked) == {1}
