@@ -42,13 +42,25 @@ def with_document(df: DataFrame, payload: str = "raw_payload") -> DataFrame:
     return df.withColumn("_document", F.when(F.col("m").isNotNull(), document(F.col(payload))))
 
 
+def with_kept(df: DataFrame, keys: Sequence[str], where: Column) -> DataFrame:
+    """Add ``_texts``: these members by position, for rows that hold ``where``.
+
+    A lookup in the map goes through its keys; rules that refer to many keys many times would do so each time.
+    """
+    members = [F.col("m")[k].alias(f"t{i}") for i, k in enumerate(keys)]
+    return df.withColumn("_texts", F.when(where & V.fence(), F.struct(*members)))
+
+
 @dataclass(frozen=True)
 class Texts:
     """Access to the members of a raw event read by :func:`read_texts`.
 
     Exact types and nested members need :func:`with_document` as well.
+    ``kept``: members that :func:`with_kept` has looked up already.
     """
 
+    kept: tuple[str, ...] = ()
+
     @property
     def m(self) -> Column:
         return F.col("m")
@@ -59,7 +71,7 @@ class Texts:
 
     def __getitem__(self, key: str) -> Column:
         """Text of a member; NULL when it is absent or JSON null."""
-        return self.m[key]
+        return F.col("_texts")[f"t{self.kept.index(key)}"] if key in self.kept else self.m[key]
 
     def has(self, key: str) -> Column:
         return F.map_contains_key(self.m, key)

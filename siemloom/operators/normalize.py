@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from siemloom import fixed_values as X
 from siemloom.functions import scales, times
 from siemloom.functions import values as V
-from siemloom.functions.texts import Texts, read_texts, with_document
+from siemloom.functions.texts import Texts, read_texts, with_document, with_kept
 from siemloom.operators import detect
 from siemloom.operators.vendors import VENDORS, Field, Vendor
 
@@ -48,23 +48,39 @@ def _vendor_in(vendors: Sequence[Vendor], test: Callable[[Vendor], bool]) -> Col
     return F.col("_vendor").isin(numbers) if numbers else F.lit(False)
 
 
-def _pick(vendors: Sequence[Vendor], e: Texts) -> dict[str, Column]:
+def _fields(v: Vendor) -> list[Field]:
+    return [f for f in (getattr(v, p) for p in PICKED) if f]
+
+
+def _many(v: Vendor, vendors: Sequence[Vendor]) -> bool:
+    """Whether members are looked up ahead of the vendor's rules: of one vendor alone, or of one with long lists of keys."""
+    return len(vendors) == 1 or any(f.look == "path" for f in _fields(v))
+
+
+def _looked_up(vendors: Sequence[Vendor]) -> tuple[str, ...]:
+    keys = {k: None for v in vendors if _many(v, vendors) for f in _fields(v) for path in f.keys for k in (path, path.split(".")[0])}
+    return tuple(keys)
+
+
+def _pick(vendors: Sequence[Vendor], kept: tuple[str, ...]) -> dict[str, Column]:
     """Values, noted sources and emission flags of every field."""
+    plain, ahead = Texts(), Texts(kept)
     columns = {}
     for p in PICKED:
         having = [v for v in vendors if getattr(v, p)]
         numbers = {v.name: i for i, v in enumerate(vendors)}
 
-        def pick(build: Callable[[Field], Column], having=having, numbers=numbers, p=p) -> Column:
-            return _by_vendor(having, lambda v: build(getattr(v, p)), numbers=numbers, single=len(vendors) == 1)
+        def pick(build: Callable[[Field, Texts], Column], having=having, numbers=numbers, p=p) -> Column:
+            return _by_vendor(having, lambda v: build(getattr(v, p), ahead if _many(v, vendors) else plain),
+                              numbers=numbers, single=len(vendors) == 1)
 
-        columns[f"_{p}"] = pick(lambda f: f.text(e) if p in READ else f.variant(e)) \
+        columns[f"_{p}"] = pick(lambda f, e: f.text(e) if p in READ else f.variant(e)) \
             if having else F.lit(None).cast("string" if p in READ else "variant")
-        columns[f"_{p}_from"] = pick(lambda f: f.source(e)) if having else F.lit(None).cast("string")
+        columns[f"_{p}_from"] = pick(lambda f, e: f.source(e)) if having else F.lit(None).cast("string")
         if p in TYPED:
-            columns[f"_{p}_kind"] = pick(lambda f: f.kind(e))
+            columns[f"_{p}_kind"] = pick(lambda f, e: f.kind(e))
         if p not in READ:
-            columns[f"_{p}_out"] = pick(lambda f: f.holds(f.emitted, e)) if having else F.lit(False)
+            columns[f"_{p}_out"] = pick(lambda f, e: f.holds(f.emitted, e)) if having else F.lit(False)
     return columns
 
 
@@ -132,7 +148,10 @@ def _event(vendors: Sequence[Vendor]) -> Column:
 def _project(df: DataFrame, vendors: Sequence[Vendor], received_ms: Column, payload: str) -> DataFrame:
     """Add ``event`` and ``error`` for rows whose ``_vendor`` is one of ``vendors``."""
     df = with_document(df, payload)
-    df = df.withColumns(_pick(vendors, Texts()))
+    keys = _looked_up(vendors)
+    if keys:
+        df = with_kept(df, keys, F.col("m").isNotNull() & _vendor_in(vendors, lambda v: _many(v, vendors)))
+    df = df.withColumns(_pick(vendors, keys))
     digit_times = _vendor_in(vendors, lambda v: v.digit_times)
     df = df.withColumns({
         "_time_ms": times.epoch_ms(

@@ -1,6 +1,7 @@
 """Edge cases of detection and mapping, with results worked out by hand."""
 
 import json
+import re
 
 import pytest
 
@@ -65,3 +66,13 @@ def test_filter_does_not_repeat_parsing(spark):
     plan = normalize.normalize(df).filter("success")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(ArrayType(MapType(StringType,StringType") == 1
     assert detect.detect_vendor(df).collect()[0].vendor == "splunk"
+
+
+def test_members_are_looked_up_once(spark):
+    """One vendor's rules refer to a member many times; the map of members is searched for it once."""
+    df = spark.createDataFrame([(1, '{"outcome":"ok","event_time":5}', NOW)], "raw_log_id int, raw_payload string, received_at_ms long")
+    df = normalize.normalize_vendor(df, "webhook").select("event")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert [len(re.findall(rf"m#\d+\[{key}\]", plan)) for key in ("occurred_at", "event_time")] == [1, 1]
+    event = df.first().event
+    assert (event.time, event.status_id) == (5000, 1)
