@@ -1,6 +1,6 @@
 """Value conversions of the field transformation, VARIANT in and VARIANT out.
 
-A value that does not convert passes through unchanged.
+A value that does not convert passes through unchanged.  ``r`` is the value's type and text, where they are read already.
 """
 
 from __future__ import annotations
@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from siemloom.fixed_values import FALSE_WORDS, TRANSFORM_MS_FROM, TRUE_WORDS
 from siemloom.functions import times
-from siemloom.functions.values import Value, as_variant, literal_map, strip
+from siemloom.functions.values import Value, as_variant, bind, literal_map, strip
 
 
-def to_whole(v: Column) -> Column:
-    return F.coalesce(as_variant(Value.of(v).whole), v)
+def to_whole(v: Column, r: Value | None = None) -> Column:
+    return F.coalesce(as_variant((r or Value.of(v)).whole), v)
 
 
-def to_boolean(v: Column, floats: bool = True) -> Column:
-    r = Value.of(v)
+def to_boolean(v: Column, floats: bool = True, r: Value | None = None) -> Column:
+    r = r or Value.of(v)
     word = F.lower(strip(r.text))
     numeric = r.is_number if floats else (r.type_name == "int")
     return (
@@ -30,20 +30,20 @@ def to_boolean(v: Column, floats: bool = True) -> Column:
     )
 
 
-def to_stripped(v: Column) -> Column:
-    return F.coalesce(as_variant(strip(Value.of(v).text)), v)
+def to_stripped(v: Column, r: Value | None = None) -> Column:
+    return F.coalesce(as_variant(strip((r or Value.of(v)).text)), v)
 
 
-def to_duration(v: Column) -> Column:
+def to_duration(v: Column, r: Value | None = None) -> Column:
     """Whole milliseconds of a number or number text."""
-    r = Value.of(v)
+    r = r or Value.of(v)
     d = F.when(r.is_string, times.float_text(r.text)).when(r.is_number, r.number)
     return F.coalesce(as_variant(d.try_cast("bigint")), v)
 
 
-def to_duration_legacy(v: Column) -> Column:
+def to_duration_legacy(v: Column, r: Value | None = None) -> Column:
     """Float milliseconds; texts need a unit of ms, s or m and otherwise stay (stripped, lower-case)."""
-    r = Value.of(v)
+    r = r or Value.of(v)
     s = F.lower(strip(r.text))
 
     def scaled(suffix: int, factor: int) -> Column:
@@ -61,23 +61,23 @@ def to_duration_legacy(v: Column) -> Column:
     )
 
 
-def to_iso_text(v: Column) -> Column:
+def to_iso_text(v: Column, r: Value | None = None) -> Column:
     """Legacy timestamp: ISO text of an epoch number or an ISO text."""
-    r = Value.of(v)
+    r = r or Value.of(v)
     d = r.number
     seconds = F.when(d > TRANSFORM_MS_FROM, d / 1000).otherwise(d)
     s = strip(r.text)
     return (
-        F.when(r.is_string, as_variant(F.coalesce(times.iso_text(times.iso_ms(s)), s)))
+        F.when(r.is_string, as_variant(F.coalesce(bind(times.iso_ms(s), times.iso_text), s)))
         .when(r.is_number,
-              F.coalesce(as_variant(times.iso_text((seconds * 1000).try_cast("bigint"))), v))
+              F.coalesce(as_variant(bind((seconds * 1000).try_cast("bigint"), times.iso_text)), v))
         .otherwise(v)
     )
 
 
-def to_enum(v: Column, words: dict, trim: bool = True) -> Column:
+def to_enum(v: Column, words: dict, trim: bool = True, r: Value | None = None) -> Column:
     """Replace a known word, ignoring case; other values stay."""
-    r = Value.of(v)
+    r = r or Value.of(v)
     word = F.lower(strip(r.text) if trim else r.text)
     hit = F.when(r.is_string, literal_map(words)[word])
     return F.coalesce(as_variant(hit), v)

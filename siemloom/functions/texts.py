@@ -32,9 +32,8 @@ def read_texts(df: DataFrame, payload: str = "raw_payload") -> DataFrame:
     """Add ``m``, the top-level members as texts; NULL unless the payload is one JSON object."""
     wrapped = F.from_json(
         F.concat(F.lit("["), F.col(payload), F.lit("]")), "array<map<string,string>>", V.JSON_OPTIONS)
-    df = df.withColumn("m", wrapped)
-    df = df.withColumn("m", F.when((F.size("m") == 1) & V.fence(), F.get("m", F.lit(0))))
-    return df.withColumn("m", F.when(V.fence(), V.last_key_wins(F.col("m"))))
+    # One projection for it all: each writes the members anew.
+    return df.withColumn("m", F.when(V.fence(), V.bind(V.only_item(wrapped), V.last_key_wins)))
 
 
 def with_document(df: DataFrame, payload: str = "raw_payload") -> DataFrame:

@@ -150,9 +150,9 @@ def float_text(s: Column) -> Column:
     return F.when(cleaned.rlike(FLOAT_TEXT), F.replace(cleaned, F.lit("_"), F.lit("")).try_cast("double"))
 
 
-def converted_timestamp(v: Column) -> Column:
-    """Epoch ms as VARIANT; unreadable values pass through (texts stripped)."""
-    r = Value.of(v)
+def converted_timestamp(v: Column, r: Value | None = None) -> Column:
+    """Epoch ms as VARIANT; unreadable values pass through (texts stripped).  ``r``: type and text, where they are read already."""
+    r = r or Value.of(v)
     s = strip(r.text)
     f = float_text(r.text)
 

@@ -28,18 +28,26 @@ def event_type(keys: Sequence[str] | None = None) -> str:
     return "struct<" + ",".join(f"`{k}`:variant" for k in keys) + ">"
 
 
-def parse_event(df: DataFrame, payload: str, keys: Sequence[str] | None = None) -> DataFrame:
+def only_item(items: Column) -> Column:
+    """The item of an array of one, else NULL."""
+    return bind(items, lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0))))
+
+
+def parse_event(df: DataFrame, payload: str, keys: Sequence[str] | None = None, last: bool = False) -> DataFrame:
     """Add ``m``, the payload parsed once; NULL when it is not exactly one JSON object.
 
     With ``keys`` only those members are kept and each is read by position; an
     absent key is NULL and a JSON null is a VARIANT null.  The text is parsed as
     a one-element array so that trailing content makes it invalid instead of
     being ignored.  Parsing has its own projection, because a parser call inside
-    a CASE would run once per use.
+    a CASE would run once per use; what needs no other projection is done in the
+    same one, as each writes the members anew.  ``last``: of a key repeated in a
+    map the last value stays.
     """
     wrapped = F.from_json(
         F.concat(F.lit("["), F.col(payload), F.lit("]")), f"array<{event_type(keys)}>", JSON_OPTIONS)
-    return df.withColumn("m", wrapped).withColumn("m", F.when((F.size("m") == 1) & fence(), F.get("m", F.lit(0))))
+    m = only_item(wrapped)
+    return df.withColumn("m", F.when(fence(), bind(m, last_key_wins) if last else m))
 
 
 def last_key_wins(m: Column) -> Column:
@@ -261,6 +269,11 @@ def fence() -> Column:
     return F.monotonically_increasing_id() >= 0
 
 
+def bind(c: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(c)``, where ``of`` refers to ``c`` several times and it should be computed once."""
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
 JSON_NULL = "null"
 
 
