@@ -162,3 +162,37 @@ def test_small_partitions_are_few_blocks(spark, model, monkeypatch):
     assert len(many) == 200 and max(written) <= 3 * spark.sparkContext.defaultParallelism
     for a, b in zip(many, one, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+
+
+def test_every_word_of_every_text_teaches(spark, model):
+    """More texts than were taken once, words behind a text's first 20,000 characters, and words of any length."""
+    r = random.Random(5)
+    syllables = ["th", "er", "on", "ti", "ing", "ble", "ha", "re", "Ż", "漢"]
+    word = lambda: "".join(r.choices(syllables, k=r.randint(1, 5)))
+    rows = [(i, f"{word()} {word()}") for i in range(2700)]
+    rows += [(3000 + i, " ".join(["the"] * 7000 + [word() + word() for _ in range(300)])) for i in range(4)]
+    rows += [(4000 + i, " ".join("".join(r.choices(syllables, k=r.randint(40, 90))) for _ in range(20))) for i in range(4)]
+    docs = frame(spark, [(i, t, *[None] * 7) for i, t in rows]).repartition(5)
+    assert rounded(L.score(docs, model, remainder(5) == 1)) == want(rows, model)
+
+
+def test_expected_pieces_of_long_words(model):
+    """Read together, by logarithms, or alone; what is expected of the pieces is as long as the words, but for the bytes' own share."""
+    lattice, r = L.Lattice(model), random.Random(6)
+    words = [b"".join(r.choices([b"the", b"tion", "é".encode(), b"q", "漢字".encode(), b"in", b"\xff"], k=r.randint(30, 120))) for _ in range(60)]
+    alone = L.np.zeros(len(lattice.scores))
+    whole = [lattice._long("▁".encode() + w, alone) for w in words]
+    assert sum(len(w) > L.TOGETHER for w in words) > L.FEW and lattice.words(words) == pytest.approx(whole)
+    assert lattice.expected(words) == pytest.approx(alone, abs=1e-7)
+    assert lattice.expected(words[:1] + [b"the"]) == pytest.approx(lattice.expected(words[:1]) + lattice.expected([b"the"]))
+    size = dict.fromkeys(range(len(alone)), 0) | {i: len(p) for p, i in lattice.number.items()}
+    covered = sum(n * size[i] for i, n in enumerate(alone))
+    assert 0 < covered < sum(len(w) + 3 for w in words)
+
+
+def test_trie_finds_every_piece(model):
+    lattice = L.Lattice(model)
+    for piece in list(model[0])[::50]:
+        ends = {j: node for j, _, node in list(lattice._edges(piece + b"\x00", 0))[1:]}
+        assert ends == {k: lattice.number[piece[:k]] for k in range(1, len(piece) + 1) if piece[:k] in model[0]} | {
+            j: n for j, n in ends.items() if j > len(piece)}
