@@ -193,6 +193,6 @@ def test_expected_pieces_of_long_words(model):
 def test_trie_finds_every_piece(model):
     lattice = L.Lattice(model)
     for piece in list(model[0])[::50]:
-        ends = {j: node for j, _, node in list(lattice._edges(piece + b"\x00", 0))[1:]}
+        ends = {j: node for j, _, node in lattice._edges(piece + b"\x00", 0)[1:]}
         assert ends == {k: lattice.number[piece[:k]] for k in range(1, len(piece) + 1) if piece[:k] in model[0]} | {
             j: n for j, n in ends.items() if j > len(piece)}
